@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # The white space of ECMAScript (\s and trim), as a class for Java, Python and RE2.
 JS_WS = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-JS_WS_PY = re.compile("[\t\n\x0b\x0c\r \xa0  -     　﻿]+")
-JS_WS_CHARS = "\t\n\x0b\x0c\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+JS_WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+JS_WS_PY = re.compile(f"[{JS_WS_CHARS}]+")
 
 #: Estimated tokens of a word, and the limit and overlap that hold where none is given (fixed values).
 TOKENS_PER_WORD, DEFAULT_MAX_TOKENS, DEFAULT_OVERLAP_RATE = 1.3, 2048, 0.1
