@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from gleanspark.llm import chunks, repeated_lines
+from gleanspark.llm import chunks, near_dups, repeated_lines, sentences
 from gleanspark.session import table
 
 
+#: Problem 1: words of a shingle, similarity and least number of words, as TESTDATA.md states them.
+SCRAPE_COPIES = {"words": 3, "threshold": 0.6, "min_words": 80}
+
+
+def p1_found(spark, sf_dir):
+    return near_dups.group_pairs(near_dups.near_duplicates(table(spark, sf_dir, "scrapes"), **SCRAPE_COPIES))
+
+
+def p1_groups(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "scrapes"), **SCRAPE_COPIES)
+
+
 def p3_found(spark, sf_dir):
     found = repeated_lines.repeated_lines(table(spark, sf_dir, "scrapes"))
     return found.where(found.line_docs >= repeated_lines.MIN_DOCS).select("scrape_id", "line_no")
@@ -23,7 +35,15 @@ def p5_pieces(spark, sf_dir):
     return chunks.pieces(table(spark, sf_dir, "chunk_inputs"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def p9_found(spark, sf_dir):
+    return sentences.sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos")
+
+
+def p9_sentences(spark, sf_dir):
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 _WS = "[\\s\\p{Z}\\x{1C}-\\x{1F}\\x{85}\\x{200B}\\x{FEFF}]+"
 SQL = {
