@@ -49,7 +49,7 @@ def train(docs: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts[r.domain] = np.frombuffer(r.counts, np.int64)
     prior = np.log(counts[:, FEATURES] + 1.0)
     like = np.log((counts[:, :FEATURES] + 0.5) / (counts[:, :FEATURES].sum(1, keepdims=True) + 0.5 * FEATURES))
-    return prior - np.log(np.exp(prior).sum()), like
+    return prior - np.log(max(np.exp(prior).sum(), 1.0)), like
 
 
 def posteriors(texts: list[str | None], prior: np.ndarray, like: np.ndarray) -> np.ndarray:

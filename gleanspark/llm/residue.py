@@ -50,7 +50,8 @@ Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor i
 LATIN = (
     "aenesto alicor blandique carpetum congreto curabin dapibes dolenta elifenda euismar facilo felinat gravesco hendrito interdus ipsum jacinto justica "
     "lacunis ligulan lorem massero mattis morbinat nibhera nuncaro odiosum ornato pellent pharetis porten praven quinima quisqual rhoncas rutelo sagittal sedunt "
-    "semperis temporan tortilo tuscelum ultrinam urnavit varicus veliqua ventiqua vestaro vulputo"
+    "semperis temporan tortilo tuscelum ultrinam urnavit varicus veliqua ventiqua vestaro vulputo "
+    "dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua"
 )
 #: What follows a message and says nothing of its own.
 TAILS = "Reference|Go to the start page or use the search|Zurück zur Startseite|Try later|Notice|Error|Fehler"
@@ -69,7 +70,7 @@ SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\.\.\.|\s[-–|]
 
 #: A window is matched if it holds so much of the exemplar's TF-IDF mass, and the exemplar so much of the window's; a text
 #: is a message if matched windows make up so much of it.
-EXEMPLAR_SHARE, WINDOW_SHARE, FILLER_SHARE, COVERAGE = 0.7, 0.5, 0.75, 0.6
+EXEMPLAR_SHARE, WINDOW_SHARE, FILLER_SHARE, COVERAGE = 0.7, 0.5, 0.7, 0.6
 
 
 def exemplars() -> list[tuple[str, tuple[str, ...]]]:

@@ -101,7 +101,7 @@ def _depths(s: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
 def _closed(s: str, end: int, ends: set[int]) -> int:
     """Place behind the quotations and brackets that close right behind a mark."""
     while True:
-        k = end + (s[end : end + 1] in ("\u00a0", "\u202f"))
+        k = end + (s[end : end + 1] in ("\u00a0", "\u202f") or s[end : end + 2] == " »")
         if k + 1 not in ends:
             return end
         end = k + 1
@@ -155,8 +155,8 @@ def _split_score(s: str, end: int, mark: int, quotes: list[tuple[int, int]], bra
             return -9.0 if nxt in "但而却就" else 2.0
         return 3.0 if full or sign[-1] in "!?" else -9.0
     if not blank:
-        # A missing blank: a word of three letters or more, a point, a capitalised word.
-        if re.search(r"[^\W\d_]{3}$", s[:mark]) and before.islower() and first.isupper() and re.match(r"[^\W\d_]{2}|[AI]\s", s[k:]) and not opened:
+        # A missing blank: a word of two letters or more, a point, a capitalised word.
+        if re.search(r"[^\W\d_]{2}$", s[max(0, mark - 4) : mark]) and before.islower() and first.isupper() and re.match(r"[^\W\d_]{2}|[AI]\s", s[k:]) and not opened:
             return 2.0
         if sign[-1] in "!?" and first.isupper() and before.isalpha():
             return 2.0
