@@ -1,7 +1,8 @@
-"""Groups of near-duplicate texts, by token-combination prefixes."""
+"""Groups of near-duplicate texts, found exactly by prefixes of rare tokens."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -17,15 +18,14 @@ from gleanspark.session import checkpointed, release
 
 #: The count sketch has 2^COUNT_BITS cells whatever the corpus, and is sent to all tasks.
 COUNT_BITS, BLOCKS = 20, 64
-#: A pair within the threshold shares EXTEND tokens or more of its extended prefixes. By the pigeonhole principle these are
-#: NEED rare ones, or K others: EXTEND = 1 + (NEED - 1) + (K - 1).
-NEED, K = 8, 4
-EXTEND = NEED + K - 1
-#: A posting of up to POSTING texts is paired outright. In a longer one, each text is paired with the least and the one
-#: before, which grows no faster than the posting; one such token in SPARSE, by its hash, does so, and counts a quarter of NEED.
-POSTING, SPARSE = 12, 8
-#: Combinations of K tokens that are indexed per text, chosen by hashing among all its tokens.
-BANDS = 24
+#: Prefix tokens are dealt to parts of about so many; a part is held by one task.
+PART = 1 << 20
+#: Postings beyond so many texts are paired block by block, each pair of blocks in a part of its own choice.
+BLOCK = 4096
+#: A text's tokens as parities: the bits in which two differ are no more than the tokens in which the texts differ.
+BITS = 512
+#: Pairs looked at in one numpy step; tokens left behind one of the prefix are kept in so many bits.
+STEP, REST_BITS = 1 << 20, 24
 #: The bitmap of nodes to verify has 2^NODE_BITS bits.
 NODE_BITS = 24
 _U = np.uint64
@@ -46,7 +46,7 @@ def _sets(batches, words, min_words):
 
 
 def _scan(docs: DataFrame, words: int, min_words: int) -> tuple[np.ndarray, float, DataFrame]:
-    """Texts per cell of token hashes over all texts, an upper bound of each token's frequency; their mean; (doc, node)."""
+    """Texts per cell of token hashes over all texts, an upper bound of each token's frequency; their sum; (doc, node)."""
     size, block = 1 << COUNT_BITS, (1 << COUNT_BITS) // BLOCKS
     kind = docs.schema["_d"].dataType.simpleString()
     doc_type = to_arrow_type(docs.schema["_d"].dataType)
@@ -76,108 +76,122 @@ def _scan(docs: DataFrame, words: int, min_words: int) -> tuple[np.ndarray, floa
     cells = np.zeros(size, dtype=np.uint32)
     for r in rows.where("block is not null").select("block", "cells").groupBy("block").applyInArrow(add, "block int, cells binary").collect():  # BLOCKS rows, of 4 MB together
         cells[r.block * block : (r.block + 1) * block] = np.frombuffer(r.cells, dtype=np.uint32)
-    return cells, float(cells.mean()), rows.where("block is null").select("doc", "node").distinct()
+    return cells, float(cells.sum(dtype=np.float64)), rows.where("block is null").select("doc", "node").distinct()
 
 
-def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float, cells, mean: float) -> DataFrame:
-    """(sig, node, other): single rare tokens of the extended prefix, and combinations of tokens.
+def _parities(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """A row of BITS bits for each of n texts, as 64 bit integers."""
+    out = np.empty((n, BITS // 64), dtype=_U)
+    bit = (mix(tokens) % _U(BITS)).astype(np.int64)
+    for k in range(0, n, 2048):
+        lo, hi = np.searchsorted(owner, [k, min(k + 2048, n)])
+        odd = np.bincount((owner[lo:hi] - k) * BITS + bit[lo:hi], minlength=min(2048, n - k) * BITS) & 1
+        out[k : k + 2048] = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1).view(_U)
+    return out
 
-    Of a combination, a task names its first node only; later ones are paired with it there, as (0, node, first).
+
+def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float, cells, parts: int) -> DataFrame:
+    """(part, node, n, parity, tokens): the prefix of each text, all of its tokens, dealt to parts by token.
+
+    Tokens are ordered by their cells' counts and then by themselves, alike in all texts. The prefix ends where too few tokens
+    are left to reach the threshold. A token is 40 bits of its hash, and the number of tokens from it to the text's last.
     """
-    cut = 2 * mean + 64
-    seeds = mix(np.arange(1, BANDS * K + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = cells.value
-        head: dict[int, int] = {}
         for _, _, keys, bounds, tokens, new in _sets(batches, words, min_words):
             if not len(new):
                 continue
-            n = np.diff(bounds)
-            df = held[(tokens & _U((1 << COUNT_BITS) - 1)).astype(np.int64)]
-            owner = np.repeat(np.arange(len(n)), n)
-            fresh = np.zeros(len(n), dtype=bool)
+            fresh = np.zeros(len(keys), dtype=bool)
             fresh[new] = True
-            rare = df <= cut
-            # Singles: tokens in order of frequency, as far as the extended prefix reaches.
-            order = np.argsort((owner.astype(_U) << _U(47)) | (np.minimum(df, 0x7FFF).astype(_U) << _U(32)) | (tokens & _U(0xFFFFFFFF)))
-            rank = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
-            reach = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + EXTEND
-            take = order[(rank < np.repeat(reach, n)) & rare[order] & fresh[owner]]
-            sigs, nodes, others = [tokens[take].astype(np.int64)], [keys[owner[take]]], [np.zeros(len(take), dtype=np.int64)]
-            # Combinations: the least token under each of K hash functions per band.
-            few = fresh[owner]
-            t, o = tokens[few], owner[few]
-            if len(t):
-                first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-                whole = np.diff(np.append(first, len(o))) >= 2 * K
-                who = keys[o[first][whole]]
-                for band in range(BANDS):
-                    sig = np.full(len(first), band + 1, dtype=_U)
-                    with np.errstate(over="ignore"):
-                        for k in range(K):
-                            sig = mix(sig * _U(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat(mix(t ^ seeds[band * K + k]), first))
-                    sig = (sig[whole] | _U(1 << 63)).astype(np.int64)
-                    known = np.array([head.setdefault(s, w) for s, w in zip(sig.tolist(), who.tolist())], dtype=np.int64)
-                    again = known != who
-                    sigs.append(np.where(again, 0, sig))
-                    nodes.append(who)
-                    others.append(np.where(again, known, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, others)], ["sig", "node", "other"])
-
-    return docs.mapInArrow(emit, "sig bigint, node bigint, other bigint")
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of nodes that share enough.
-
-    A posting of a single rare token is bounded by the count sketch, that of a combination by the number of tasks. Postings
-    come sorted and are read in runs; what a run of combinations holds is paired with its least node only.
+            tokens, keys, n = tokens[np.repeat(fresh, np.diff(bounds))], keys[fresh], np.diff(bounds)[fresh]
+            owner = np.repeat(np.arange(len(n)), n)
+            df = held[(tokens & _U((1 << COUNT_BITS) - 1)).astype(np.int64)]
+            # Upper bits of a float rise with it; equal keys stay in the order of the tokens.
+            rarity = (df.astype(np.float32).view(np.uint32) >> 16).astype(_U)
+            order = np.argsort((owner.astype(_U) << _U(47)) | (rarity << _U(32)) | (tokens & _U(0xFFFFFFFF)), kind="stable")
+            left = np.repeat(np.cumsum(n), n) - np.arange(len(tokens))
+            take = left >= np.repeat(np.ceil(threshold * n - 1e-9).astype(np.int64), n)
+            left, order = left[take], order[take]
+            o, sig, df = owner[order], mix(tokens[order]), df[order].astype(np.int64)
+            # A long posting: its texts are dealt to blocks, and each goes to all pairs of blocks that hold its own.
+            blocks = -(-df // BLOCK)
+            copies = np.repeat(np.arange(len(o)), blocks)
+            with np.errstate(over="ignore"):
+                other = (np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(_U)
+                own = mix(keys[o[copies]].astype(_U)) % blocks[copies].astype(_U)
+                sig = mix(sig[copies] + np.minimum(own, other) * _U(0xC2B2AE3D27D4EB4F) + np.maximum(own, other) * _U(0x165667B19E3779F9))
+            o, left = o[copies], left[copies]
+            part = ((sig & _U(0xFFFFFF)) % _U(parts)).astype(np.int64)
+            packed = ((sig >> _U(24)) << _U(REST_BITS)) | np.minimum(left, (1 << REST_BITS) - 1).astype(_U)
+            by = np.argsort(part * len(n) + o, kind="stable")
+            part, o, packed = part[by], o[by], packed[by]
+            first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (o[1:] != o[:-1])))
+            parity, who = _parities(owner, tokens, len(n)), o[first]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(o)).astype(np.int32)), pa.array(packed.view(np.int64)))
+            width = pa.binary(BITS // 8)
+            bits = pa.FixedSizeBinaryArray.from_buffers(width, len(who), [None, pa.py_buffer(np.ascontiguousarray(parity[who]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(keys[who]), pa.array(n[who].astype(np.int64)), bits, lists], ["part", "node", "n", "parity", "tokens"])
+
+    return docs.mapInArrow(emit, "part int, node bigint, n bigint, parity binary, tokens array<bigint>")
+
+
+def candidates(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(a, b), a < b: pairs of nodes that may reach the threshold, among them all that do.
+
+    A pair that does shares its first common token within both prefixes; what is left from there on bounds what it shares, so each
+    text of a posting, sorted by size, meets a range of larger ones. Differing parities bound what it doesn't share.
     """
+    grow = (1 + threshold) / threshold
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
-
-        def of(sig, node, other):
-            direct = other != 0
-            out = [(np.minimum(node, other)[direct], np.maximum(node, other)[direct], np.full(int(direct.sum()), NEED, np.int32))]
-            sig, node = sig[~direct], node[~direct]
-            if len(sig):
-                twin = np.append(False, (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
-                sig, node = sig[~twin], node[~twin]
-                first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-                size = np.diff(np.append(first, len(sig)))
-                many, head = np.repeat(size, size), np.repeat(node[first], size)
-                star = (sig < 0) & (node != head)
-                out.append((head[star], node[star], np.full(int(star.sum()), NEED, np.int32)))
-                own = (sig >= 0) & (many >= 2) & (many <= POSTING)
-                s, x = sig[own], node[own]
-                for d in range(1, POSTING):
-                    same = np.flatnonzero(s[d:] == s[:-d])
-                    out.append((x[same], x[same + d], np.ones(len(same), np.int32)))
-                long = (sig >= 0) & (many > POSTING) & (mix(sig.astype(_U)) % _U(SPARSE) == 0)
-                s, x, h = sig[long], node[long], head[long]
-                star, same = x != h, np.flatnonzero(s[1:] == s[:-1])
-                near = same[x[same] != h[same + 1]]
-                part = NEED // 4
-                out.append((h[star], x[star], np.full(int(star.sum()), part, np.int32)))
-                out.append((x[near], x[near + 1], np.full(len(near), part, np.int32)))
-            a, b, w = (np.concatenate(y) for y in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w)], ["a", "b", "w"])
-
-        for batch in batches:
-            cols = [np.concatenate((r, batch.column(k).to_numpy())) for k, r in enumerate(rest)]
-            if not len(cols[0]):
-                continue
-            # The last run may go on in the next batch; pairs made at once have no run.
-            at = int(np.searchsorted(cols[0], cols[0][-1])) if cols[0][-1] != 0 else len(cols[0])
-            rest = [c[at:] for c in cols]
-            yield of(*(c[:at] for c in cols))
-        yield of(*rest)
-
-    # Pairs made in a task need no meeting, so they are spread by their nodes.
-    spread = rows.repartition(F.when(F.col("sig") == 0, F.xxhash64("node", "other")).otherwise(F.col("sig"))).sortWithinPartitions("sig", "node")
-    return spread.mapInArrow(pairs, "a bigint, b bigint, w int").groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= NEED).select("a", "b")
+        whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if whole is None:
+            return
+        whole = whole.combine_chunks()
+        part, node, n = (whole.column(k).to_numpy() for k in (0, 1, 2))
+        bits = np.frombuffer(b"".join(whole.column(3).to_pylist()), dtype=_U).reshape(len(node), -1)
+        lists = whole.column(4).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        packed = lists.flatten().to_numpy().view(_U)
+        sig, left = packed >> _U(REST_BITS), (packed & _U((1 << REST_BITS) - 1)).astype(np.int64)
+        # The largest partner that a text may have from this token on.
+        most = np.where(left == (1 << REST_BITS) - 1, np.iinfo(np.int64).max, np.floor(left * grow + 1e-6).astype(np.int64) - n[row])
+        order = np.lexsort((node[row], n[row], sig))
+        row, sig, most = row[order], sig[order], most[order]
+        size = n[row]
+        run = np.cumsum(np.append(0, sig[1:] != sig[:-1]))
+        span = int(size.max()) + 2
+        upto = np.searchsorted(run * span + size, run * span + np.minimum(most, span - 1), side="right")
+        count = np.maximum(upto - np.arange(len(row)) - 1, 0)
+        ends = np.cumsum(count)
+        seen, k = [], 0
+        while k < len(row):
+            # As many texts as make STEP pairs, one at least.
+            to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + STEP)))
+            c = count[k:to]
+            x = np.repeat(np.arange(k, to), c)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+            ok = size[x] <= most[y]
+            x, y = row[x[ok]], row[y[ok]]
+            room = n[x] + n[y] - 2 * np.ceil((n[x] + n[y]) / grow - 1e-6).astype(np.int64)
+            differ = np.zeros(len(x), dtype=np.int64)
+            for w in range(bits.shape[1]):
+                differ += np.bitwise_count(bits[x, w] ^ bits[y, w])
+                if w % 2:
+                    ok = differ <= room
+                    x, y, room, differ = x[ok], y[ok], room[ok], differ[ok]
+            ok = node[x] != node[y]
+            seen.append(np.unique(np.minimum(x, y)[ok] * len(node) + np.maximum(x, y)[ok]))
+            if len(seen) > 64:
+                seen = [np.unique(np.concatenate(seen))]
+            k = to
+        both = np.unique(np.concatenate(seen))
+        a, b = node[both // len(node)], node[both % len(node)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartitionById(parts, "part").mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
 def _bitmap(pairs: DataFrame) -> bytes:
@@ -248,9 +262,10 @@ def near_duplicates(docs: DataFrame, doc: str = "scrape_id", text: str = "conten
     and those of fewer than min_words or `words` words, take no part. Repeated rows count once.
     """
     base = docs.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).where("_t is not null")
-    cells, mean, members = _scan(base, words, min_words)
+    cells, tokens, members = _scan(base, words, min_words)
     shared = docs.sparkSession.sparkContext.broadcast(cells)
-    pairs = checkpointed(candidates(_prefix_rows(base, words, min_words, threshold, shared, mean)))
+    parts = max(1, math.ceil(tokens * (1 - threshold) / PART))
+    pairs = checkpointed(candidates(_prefix_rows(base, words, min_words, threshold, shared, parts), threshold, parts))
     release(docs.sparkSession)
     links = checkpointed(_verified(base, pairs, words, min_words, threshold))
     release(docs.sparkSession)
