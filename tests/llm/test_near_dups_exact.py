@@ -36,3 +36,16 @@ def test_links_of_long_postings(spark, monkeypatch, block):
     rows = [(k, " ".join(shared + fresh(rng, 50))) for k in range(30)]
     assert len(linked(rows, 3, 0.6)) == 435
     assert {r.links for r in run(spark, rows, words=3, threshold=0.6).collect()} == {29}
+
+
+def test_template_of_a_hot_site(spark):
+    """Pages share 200 of 270 shingles, which links none; 40 pairs share three more, which does."""
+    rng = random.Random(8)
+    template, rows = fresh(rng, 202), []
+    for k in range(40):
+        three = fresh(rng, 3)
+        rows += [(2 * k + x, " ".join(template + three + fresh(rng, 67))) for x in (0, 1)]
+    rng.shuffle(rows)
+    assert linked(rows, 3, 0.6) == {(2 * k, 2 * k + 1) for k in range(40)}
+    got = {tuple(r) for r in group_pairs(run(spark, rows, words=3, threshold=0.6)).collect()}
+    assert got == linked(rows, 3, 0.6)
