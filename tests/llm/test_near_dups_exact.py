@@ -49,3 +49,28 @@ def test_template_of_a_hot_site(spark):
     assert linked(rows, 3, 0.6) == {(2 * k, 2 * k + 1) for k in range(40)}
     got = {tuple(r) for r in group_pairs(run(spark, rows, words=3, threshold=0.6)).collect()}
     assert got == linked(rows, 3, 0.6)
+
+
+def test_short_and_repetitive_texts(spark):
+    """Texts of one to seven distinct shingles, and long ones of few; each pair's sets are compared."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        w = fresh(rng, rng.randrange(5, 12))
+        rows += [(4 * k, " ".join(w)), (4 * k + 1, " ".join(w[1:] if k % 2 else w + fresh(rng, 1)))]
+        rows += [(4 * k + 2, " ".join(w[:3] * 40)), (4 * k + 3, " ".join((w[:3] * 40)[:-1] + fresh(rng, 1)))]
+    rows += [(900, "a b c d e f g h i j k"), (901, "a b c d e f g h i j x"), (902, "a b c d e f g h i j")]
+    want = linked(rows, 5, 0.8)
+    assert (900, 902) in want and len(want) > 20
+    found = run(spark, rows).collect()
+    groups = {r.scrape_id: r.group_id for r in found}
+    assert all(groups[a] == groups[b] for a, b in want)
+    up = {}
+
+    def top(x):
+        return x if up.get(x, x) == x else top(up[x])
+
+    for a, b in want:
+        up[top(b)] = top(a)
+    ids = sorted(groups)
+    assert all((groups[a] == groups[b]) == (top(a) == top(b)) for a in ids for b in ids)
