@@ -128,7 +128,7 @@ def _solve(items: DataFrame, count: int, round_no: int) -> DataFrame:
         block = int(table.column("block")[0].as_py())
         for k, b in enumerate(bins):
             at = order[b]
-            number[at] = (round_no * blocks + block) * (1 << 24) + k
+            number[at] = (2 * block + round_no) * (1 << 24) + k  # rounds differ in block numbers, so each has its own range
             filled[at] = size[at].sum()
         return pa.table({"capacity": table.column("capacity"), "doc": table.column("doc"), "piece": table.column("piece"), "size": table.column("size"), "bin": number, "filled": filled})
 
