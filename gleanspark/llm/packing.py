@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 from gleanspark.session import checkpointed
 
 #: Documents are packed in blocks of about so many; a block's search visits at most so many nodes.
-BLOCK, NODES = 2000, 4000
+BLOCK, NODES, STEPS = 2000, 4000, 50
 #: Containers emptier than this after the first round are emptied, and their content is packed again.
 SLACK = 0.02
 
@@ -33,84 +37,92 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], room: int, width: int = 12) -> list[list[int]]:
-    """Undominated sets of positions that fill room, those with least waste first. sizes falls.
+def fillings(sizes: list[int], room: int, steps: list[int] | None = None, limit: float = math.inf) -> Iterator[list[int]]:
+    """All undominated sets of positions that fill room, one at a time, those of large items first. sizes falls.
 
-    One item of a size dominates smaller ones, and a set whose sum another free item equals or exceeds within the
-    room. Sets have up to three items chosen outright, and best fits for the rest.
+    A set is passed over if another item, free, may take the place of one or two of its items: it is larger, or as large
+    as two, and fits. Of items of one size the first are taken. steps[0] counts the steps, and nothing more comes when it is at limit.
     """
-    out: list[tuple[int, list[int]]] = []
-    rising = sizes[::-1]
     n = len(sizes)
-
-    def largest(limit: int, after: int) -> int:
-        """First position behind `after` of a size that fits."""
-        return max(after, n - bisect.bisect_right(rising, limit))
-
-    first = largest(room, 0)
-    if first >= n:
-        return [[]]
-    seen: set[tuple[int, ...]] = set()
-    for a in range(first, min(n, first + width)):
-        left = room - sizes[a]
-        chosen, at = [a], a + 1
-        while (at := largest(left, at)) < n:
-            chosen.append(at)
-            left -= sizes[at]
-            at += 1
-        key = tuple(sizes[x] for x in chosen)
-        if key in seen:
+    steps = [0] if steps is None else steps
+    rising = sizes[::-1]
+    tail = list(itertools.accumulate(rising, initial=0))[::-1]  # all from a position on
+    # Position, room left, what is chosen, and the least size passed over, which must not fit in the end.
+    stack: list[tuple[int, int, tuple[int, ...], int]] = [(0, room, (), room + 1)]
+    while stack and steps[0] < limit:
+        at, left, chosen, least = stack.pop()
+        steps[0] += 1
+        at = max(at, n - bisect.bisect_right(rising, left))
+        if left - tail[at] >= least:
             continue
-        seen.add(key)
-        if len(chosen) == 2 and a > first and sizes[first] >= sum(key):
+        if at >= n:
+            if not _dominated(sizes, rising, chosen, left):
+                yield list(chosen)
             continue
-        out.append((left, chosen))
-        if left == 0:
-            break
-        for b in range(a + 1, min(n, a + 1 + width)):
-            need = room - sizes[a] - sizes[b]
-            c = largest(need, b + 1)
-            if need >= 0 and c < n:
-                key = (sizes[a], sizes[b], sizes[c])
-                if key not in seen:
-                    seen.add(key)
-                    rest, more, at = need - sizes[c], [a, b, c], c + 1
-                    while (at := largest(rest, at)) < n:
-                        more.append(at)
-                        rest -= sizes[at]
-                        at += 1
-                    out.append((rest, more))
-    return [c for _, c in sorted(out, key=lambda x: x[0])[:width]]
+        s = sizes[at]
+        stack.append((n - bisect.bisect_left(rising, s), left, chosen, min(least, s)))
+        stack.append((at + 1, left - s, (*chosen, at), least))
+
+
+def _fullest_first(sizes: list[int], ways: Iterator[list[int]]) -> Iterator[list[int]]:
+    """All ways, in batches of which each begins with the least waste."""
+    while batch := list(itertools.islice(ways, 16)):
+        yield from sorted(batch, key=lambda way: -sum(sizes[x] for x in way))
+
+
+def _dominated(sizes: list[int], rising: list[int], chosen: tuple[int, ...], left: int) -> bool:
+    """Whether a free item fits in place of a smaller one of the set, or of two that are no larger together."""
+    mine = Counter(sizes[x] for x in chosen)
+
+    def free(least: int, most: int) -> bool:
+        at = bisect.bisect_left(rising, least)
+        while at < len(rising) and rising[at] <= most:
+            end = bisect.bisect_right(rising, rising[at])
+            if end - at > mine[rising[at]]:
+                return True
+            at = end
+        return False
+
+    own = sorted(x for x in mine if x)
+    if left and any(free(x + 1, x + left) for x in own):
+        return True
+    pairs = {x + y for k, x in enumerate(own) for y in own[k:] if x != y or mine[x] > 1}
+    return any(free(x, x + left) for x in pairs if x <= rising[-1])
 
 
 def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bin completion: the largest item's container is filled in every undominated way, least waste first.
+    """Bin completion: the largest item's container is filled in every undominated way, depth first.
 
     Branches whose waste leaves no better packing than the incumbent are cut; the first incumbent is best fit. It is the
-    optimum if it meets the bound, and otherwise the best that `nodes` nodes show.
+    optimum if it meets the bound or the search ends before `nodes` nodes, and otherwise the best that they show, or that STEPS
+    times as many steps of looking for fillings show.
     """
     best = best_fit(sizes, capacity)
-    bound = -(-sum(sizes) // capacity)
-    spent = 0
-    stack: list[tuple[list[list[int]], list[int], int]] = [([], list(range(len(sizes))), 0)]
-    while stack and len(best) > bound and spent < nodes:
-        bins, free, waste = stack.pop()
-        spent += 1
+    total = sum(sizes)
+    bound = -(-total // capacity)
+    steps, spent = [0], 0
+    # Containers so far, what is free, the waste, and the ways to fill the next container.
+    stack = [([], list(range(len(sizes))), 0, None)]
+    while stack and len(best) > bound and spent < nodes and steps[0] < nodes * STEPS:
+        bins, free, waste, ways = stack.pop()
+        if waste > (len(best) - 1) * capacity - total:
+            continue
         if not free:
             if len(bins) < len(best):
                 best = bins
             continue
-        if waste > (len(best) - 1) * capacity - sum(sizes):
-            continue
         head, rest = free[0], free[1:]
-        options = fillings([sizes[x] for x in rest], capacity - sizes[head])
-        for option in reversed(options):
-            picked = {rest[x] for x in option}
-            used = sizes[head] + sum(sizes[x] for x in picked)
-            stack.append(([*bins, [head, *picked]], [x for x in rest if x not in picked], waste + capacity - used))
-        if spent == 1 and len(sizes) > 400:
-            # Below a bound that best fit misses by little, only the last containers are worth the search.
-            stack = stack[-4:]
+        if ways is None:
+            own = [sizes[x] for x in rest]
+            ways = _fullest_first(own, fillings(own, capacity - sizes[head], steps, nodes * STEPS))
+        option = next(ways, None)
+        if option is None:
+            continue
+        spent += 1
+        stack.append((bins, free, waste, ways))
+        picked = {rest[x] for x in option}
+        used = sizes[head] + sum(sizes[x] for x in picked)
+        stack.append(([*bins, [head, *picked]], [x for x in rest if x not in picked], waste + capacity - used, None))
     return best
 
 
