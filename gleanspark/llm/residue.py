@@ -58,16 +58,21 @@ TAILS = "Reference|Go to the start page or use the search|Zurück zur Startseite
 
 #: Marks of templates that were not filled. A mark is one token, of the exemplar that its shape is.
 MARK = re.compile(
-    r"\{\{.{0,80}?\}\}|\$\{[^{}\n]{0,80}\}|#\{[^{}\n]{0,80}\}|<%.{0,80}?%>|@@[\w.]+@@|\[\[[\w. ]{1,60}\]\]|%[A-Za-z_][\w.]{2,}%|\b__[A-Z][A-Z0-9_]*__|\[[A-Z][A-Z0-9_]*_PLACEHOLDER\]|\[(?:insert|your) [^\]\n]{1,60}\]"
+    r"@@[\w.]+@@|\[\[[\w. ]{1,60}\]\]|%[A-Za-z_][\w.]{2,}%|\b__[A-Z][A-Z0-9_]*__|\[[A-Z][A-Z0-9_]*_PLACEHOLDER\]|\[(?:insert|your) [^\]\n]{1,60}\]"
     r"|\bXXX [\w.]+ XXX\b|\bTODO: \w+|\*\|[\w.]+\|\*|\[object Object\]|(?<![\w{$#])\{\d+\}|\[Intro text[^\]\n]{0,40}\]|&lt;\w+&gt;|\bundefined undefined\b|\bNaN of NaN\b",
     re.IGNORECASE,
 )
+#: Marks between an opening and a closing sign, of any length and over lines.
+SIGNS = (("{{", "}}"), ("${", "}"), ("#{", "}"), ("<%", "%>"))
 CASED = re.compile(r"__[A-Z]|_PLACEHOLDER|XXX|TODO")
 MARK_SIGNS = re.compile(r"[{\[<%@_*&]|XXX|TODO|undefined|NaN")
 CODE = re.compile(r"(?ms)^[^\S\n]*```.*?(?:^[^\S\n]*```[^\S\n]*$|\Z)|`[^`\n]*`")
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\.\.\.|\s[-–|]\s|\n")
 
+#: Windows end at these signs only, at each twice at most.
+ENDS = ".!?。！？-–|\n"
+
 #: A window is matched if it holds so much of the exemplar's TF-IDF mass, and the exemplar so much of the window's; a text
 #: is a message if matched windows make up so much of it.
 EXEMPLAR_SHARE, WINDOW_SHARE, FILLER_SHARE, COVERAGE = 0.7, 0.5, 0.7, 0.6
@@ -80,6 +85,11 @@ def exemplars() -> list[tuple[str, tuple[str, ...]]]:
     return out + [("latin", tuple(LATIN.split()))]
 
 
+def spanned(text: str) -> bool:
+    """Whether the text holds a mark between signs."""
+    return any((at := text.find(opening)) >= 0 and text.find(closing, at + 2) >= 0 for opening, closing in SIGNS)
+
+
 class Index:
     """Inverted index over the exemplars, with inverse document frequencies of the corpus."""
 
@@ -130,24 +140,28 @@ class Index:
         for text in (title, content):
             if text and MARK_SIGNS.search(text):
                 bare = CODE.sub(" ", text) if "`" in text else text
-                if any(not CASED.search(m[0].upper()) or CASED.search(m[0]) for m in MARK.finditer(bare)):
+                if spanned(bare) or any(not CASED.search(m[0].upper()) or CASED.search(m[0]) for m in MARK.finditer(bare)):
                     return "placeholder"
         for text, of_title in ((title, True), (content, False)):
             if not text:
                 continue
             low = text.lower()
+            if "`" in low:
+                low = CODE.sub(" ", low)
             words = TOKEN.findall(low)
             if self.anchors.isdisjoint(words):
                 continue
-            # Matched windows make up COVERAGE of the mass, and exemplars WINDOW_SHARE of theirs, so less can't do.
+            # Matched windows make up COVERAGE of the mass, and exemplars WINDOW_SHARE of theirs, so less can't do. Each window
+            # may be a lone name, which has no mass.
             mass = [self.idf.get(t, 0.0) for t in words]
             known = sum(mass)
-            enough = known >= WINDOW_SHARE * COVERAGE * 0.5 * (known + self.unknown * mass.count(0.0))
+            foreign = max(0, mass.count(0.0) - 1 - 2 * sum(map(low.count, ENDS)))
+            enough = known >= WINDOW_SHARE * COVERAGE * (known + self.unknown * foreign) - 1e-9
             if not enough and self.fill.isdisjoint(words):
                 continue
             kinds: Counter[str] = Counter()
             total = 0.0
-            for line in SENTENCE.split(CODE.sub(" ", low) if "`" in low else low):
+            for line in SENTENCE.split(low):
                 tokens = TOKEN.findall(line or "")
                 # A name or address alone says nothing.
                 if not tokens or (len(tokens) == 1 and tokens[0] not in self.idf):
