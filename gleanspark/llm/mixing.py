@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.functions.shingles import shingle_sets
+from gleanspark.llm.shingles import shingle_sets
 from gleanspark.session import checkpointed
 
 #: Hashed word features of the classifier; steps of the descent; weight of the label beside the predicted membership.

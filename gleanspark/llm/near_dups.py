@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gleanspark.functions.shingles import mix, set_keys, shingle_sets
-from gleanspark.operators.components import components
+from gleanspark.llm.shingles import mix, set_keys, shingle_sets
+from gleanspark.llm.components import components
 from gleanspark.session import checkpointed, release
 
 #: The count sketch has 2^COUNT_BITS cells whatever the corpus, and is sent to all tasks.

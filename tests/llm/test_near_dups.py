@@ -1,7 +1,7 @@
 import random
 import re
 
-from gleanspark.functions.shingles import set_keys, shingle_sets
+from gleanspark.llm.shingles import set_keys, shingle_sets
 from gleanspark.llm.near_dups import group_pairs, near_duplicates
 
 SCHEMA = "scrape_id bigint, content string, node bigint, sig string"
