@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
 from gleanspark.functions import urls as U
-from gleanspark.operators.components import components
 
 
 def one(spark, make, *values):
@@ -27,10 +26,3 @@ def test_scores(spark):
     assert one(spark, U.depth_score, "https://x.test/a/b", "https://x.test/a", "https://x.test/", "https://x.test/1/2/3/4/5/6/7") == [0.5, 0.333, 0.25, 0.2]
     assert one(spark, lambda c: U.freshness(c, 2026), "https://x.test/2024/a", "https://x.test/2016/a", "https://x.test/a", "https://x.test/120199", "https://x.test/2030") == [0.8, 0.1, 0.5, 0.5, 1.0]
     assert one(spark, lambda c: U.registrable(c), "a.b.c.sonar.com", "docs.shop.co.uk", "192.168.0.1", "localhost") == ["sonar.com", "shop.co.uk", "192.168.0.1", "localhost"]
-
-
-def test_components(spark):
-    rows = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
-    got = dict(components(spark.createDataFrame(rows, "a bigint, b bigint")).collect())
-    assert set(got[k] for k in range(61)) == {0} and set(got[k] for k in range(100, 140)) == {100} and got[201] == 200 and len(got) == 103
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
