@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,14 +19,16 @@ from gleanspark.session import checkpointed, release
 
 #: The count sketch has 2^COUNT_BITS cells whatever the corpus, and is sent to all tasks.
 COUNT_BITS, BLOCKS = 20, 64
+#: Partial sketches of so many successive tasks are added up first, so that no task gets those of all.
+NEAR = 64
 #: Prefix tokens are dealt to parts of about so many; a part is held by one task.
-PART = 1 << 20
+PART = 1 << 22
 #: Postings beyond so many texts are paired block by block, each pair of blocks in a part of its own choice.
-BLOCK = 4096
-#: A text's tokens as parities: the bits in which two differ are no more than the tokens in which the texts differ.
-BITS = 512
-#: Pairs looked at in one numpy step; tokens left behind one of the prefix are kept in so many bits.
-STEP, REST_BITS = 1 << 20, 24
+BLOCK = 1 << 15
+#: A text's tokens counted by CELLS hash cells, modulo 8: cells of two texts differ by no more than the tokens in which the texts differ.
+CELLS = 128
+#: Pairs looked at in one numpy step.
+STEP = 1 << 20
 #: The bitmap of nodes to verify has 2^NODE_BITS bits.
 NODE_BITS = 24
 _U = np.uint64
@@ -52,7 +55,7 @@ def _scan(docs: DataFrame, words: int, min_words: int) -> tuple[np.ndarray, floa
     doc_type = to_arrow_type(docs.schema["_d"].dataType)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "node", "block", "cells"]
+        names = ["doc", "node", "block", "near", "cells"]
         cells = np.zeros(size, dtype=np.int64)
         for ids, which, keys, bounds, tokens, new in _sets(batches, words, min_words):
             if not len(which):
@@ -61,40 +64,84 @@ def _scan(docs: DataFrame, words: int, min_words: int) -> tuple[np.ndarray, floa
             pick[new] = True
             t = tokens[np.repeat(pick, np.diff(bounds))]
             cells += np.bincount((t & _U(size - 1)).astype(np.int64), minlength=size)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(keys), pa.nulls(len(which), pa.int32()), pa.nulls(len(which), pa.binary())], names)
+            none = pa.nulls(len(which), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(keys), none, none, pa.nulls(len(which), pa.binary())], names)
         if cells.any():
             packed = [zlib.compress(cells[k * block : (k + 1) * block].astype(np.uint32).tobytes(), 1) for k in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, doc_type), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names)
+            near = pa.array([TaskContext.get().partitionId() // NEAR] * BLOCKS, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, doc_type), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), near, pa.array(packed, pa.binary())], names)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(block, dtype=np.uint64)
-        for x in table.column("cells").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-        return pa.table({"block": table.column("block").combine_chunks().slice(0, 1), "cells": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+        for x in table.column("cells"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint32)
+        return pa.table({"block": table.column("block").combine_chunks().slice(0, 1), "cells": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
-    rows = checkpointed(docs.mapInArrow(count, f"doc {kind}, node bigint, block int, cells binary"))
+    rows = checkpointed(docs.mapInArrow(count, f"doc {kind}, node bigint, block int, near int, cells binary"))
+    near = rows.where("block is not null").select("block", "near", "cells").groupBy("block", "near").applyInArrow(add, "block int, cells binary")
     cells = np.zeros(size, dtype=np.uint32)
-    for r in rows.where("block is not null").select("block", "cells").groupBy("block").applyInArrow(add, "block int, cells binary").collect():  # BLOCKS rows, of 4 MB together
-        cells[r.block * block : (r.block + 1) * block] = np.frombuffer(r.cells, dtype=np.uint32)
+    for r in near.groupBy("block").applyInArrow(add, "block int, cells binary").collect():  # BLOCKS rows, of 4 MB together
+        cells[r.block * block : (r.block + 1) * block] = np.frombuffer(zlib.decompress(r.cells), dtype=np.uint32)
     return cells, float(cells.sum(dtype=np.float64)), rows.where("block is null").select("doc", "node").distinct()
 
 
-def _parities(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-    """A row of BITS bits for each of n texts, as 64 bit integers."""
-    out = np.empty((n, BITS // 64), dtype=_U)
-    bit = (mix(tokens) % _U(BITS)).astype(np.int64)
+def _sketches(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts its tokens per cell, modulo 8: two words of 64 cells for each of three binary digits."""
+    out = np.empty((n, 3 * CELLS // 64), dtype=_U)
+    cell = (mix(tokens) >> _U(57)).astype(np.int64)
     for k in range(0, n, 2048):
-        lo, hi = np.searchsorted(owner, [k, min(k + 2048, n)])
-        odd = np.bincount((owner[lo:hi] - k) * BITS + bit[lo:hi], minlength=min(2048, n - k) * BITS) & 1
-        out[k : k + 2048] = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1).view(_U)
+        m = min(2048, n - k)
+        lo, hi = np.searchsorted(owner, [k, k + m])
+        counts = np.bincount((owner[lo:hi] - k) * CELLS + cell[lo:hi], minlength=m * CELLS).reshape(m, CELLS)
+        for d in range(3):
+            out[k : k + m, 2 * d : 2 * d + 2] = np.packbits((counts >> d & 1).astype(np.uint8), axis=1).view(_U)
     return out
 
 
+def _differ(bits: np.ndarray, x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
+    """By how much the cells of word w of texts x and y differ, together; each by the shorter way round the circle of 8."""
+    a0, a1, a2 = (bits[x, 2 * d + w] for d in range(3))
+    b0, b1, b2 = (bits[y, 2 * d + w] for d in range(3))
+    lend = ~a0 & b0
+    d0, d1 = a0 ^ b0, a1 ^ b1 ^ lend
+    d2 = a2 ^ b2 ^ ((~a1 & b1) | (~(a1 ^ b1) & lend))
+    count = lambda v: np.bitwise_count(v).astype(np.int64)
+    # A difference of 4 or more counts as 8 less it.
+    return count(d0 & ~d2) + 2 * count(d1 & ~d2) + 4 * count(d2) - count(d0 & d2) - 2 * count(d1 & d2)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32 bit numbers as their lower halves and then their upper ones, which are mostly zeros and compress to nothing."""
+    return (x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes()
+
+
+def _unplaned(data: bytes, at: int, k: int) -> np.ndarray:
+    half = np.frombuffer(data, np.uint16, 2 * k, at).astype(np.int64)
+    return half[:k] | half[k:] << 16
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, bits: np.ndarray, counts: np.ndarray, sig: np.ndarray, left: np.ndarray) -> bytes:
+    """Texts (key, size, sketch, number of entries) and their entries (32 bits of the token, tokens left) without any padding."""
+    return np.array([len(keys), len(sig)], np.int64).tobytes() + keys.tobytes() + bits.tobytes() + sig.astype(np.uint32).tobytes() + _planes(n) + _planes(counts) + _planes(left)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    m, t = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    at = 16
+    keys = np.frombuffer(data, np.int64, m, at)
+    bits = np.frombuffer(data, _U, m * 3 * CELLS // 64, at := at + 8 * m).reshape(m, -1)
+    sig = np.frombuffer(data, np.uint32, t, at := at + 3 * CELLS // 8 * m)
+    n = _unplaned(data, at := at + 4 * t, m)
+    counts = _unplaned(data, at := at + 4 * m, m)
+    return keys, n, bits, counts, sig, _unplaned(data, at + 4 * m, t)
+
+
 def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float, cells, parts: int) -> DataFrame:
-    """(part, node, n, parity, tokens): the prefix of each text, all of its tokens, dealt to parts by token.
+    """(part, data): the prefixes of the texts of each batch, all of their tokens, dealt to parts by token.
 
     Tokens are ordered by their cells' counts and then by themselves, alike in all texts. The prefix ends where too few tokens
-    are left to reach the threshold. A token is 40 bits of its hash, and the number of tokens from it to the text's last.
+    are left to reach the threshold. An entry is 32 bits of the token beside its part, and the number of tokens from it to the
+    text's last; tokens that agree in these bits by chance only make more candidates.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,51 +167,53 @@ def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float,
             with np.errstate(over="ignore"):
                 other = (np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(_U)
                 own = mix(keys[o[copies]].astype(_U)) % blocks[copies].astype(_U)
-                sig = mix(sig[copies] + np.minimum(own, other) * _U(0xC2B2AE3D27D4EB4F) + np.maximum(own, other) * _U(0x165667B19E3779F9))
+                sig = np.where(blocks[copies] > 1, mix(sig[copies] + np.minimum(own, other) * _U(0xC2B2AE3D27D4EB4F) + np.maximum(own, other) * _U(0x165667B19E3779F9)), sig[copies])
             o, left = o[copies], left[copies]
             part = ((sig & _U(0xFFFFFF)) % _U(parts)).astype(np.int64)
-            packed = ((sig >> _U(24)) << _U(REST_BITS)) | np.minimum(left, (1 << REST_BITS) - 1).astype(_U)
             by = np.argsort(part * len(n) + o, kind="stable")
-            part, o, packed = part[by], o[by], packed[by]
+            part, o, left, sig = part[by], o[by], left[by], (sig[by] >> _U(24)).astype(np.uint32)
             first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (o[1:] != o[:-1])))
-            parity, who = _parities(owner, tokens, len(n)), o[first]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(o)).astype(np.int32)), pa.array(packed.view(np.int64)))
-            width = pa.binary(BITS // 8)
-            bits = pa.FixedSizeBinaryArray.from_buffers(width, len(who), [None, pa.py_buffer(np.ascontiguousarray(parity[who]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(keys[who]), pa.array(n[who].astype(np.int64)), bits, lists], ["part", "node", "n", "parity", "tokens"])
+            counts, who, where = np.diff(np.append(first, len(o))), o[first], part[first]
+            bits = _sketches(owner, tokens, len(n))
+            starts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            data = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(where)]):
+                w = who[lo:hi]
+                here = slice(first[lo], first[hi] if hi < len(first) else len(o))
+                data.append(_packed(keys[w], n[w], bits[w], counts[lo:hi], sig[here], left[here]))
+            yield pa.RecordBatch.from_arrays([pa.array(where[starts].astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
 
-    return docs.mapInArrow(emit, "part int, node bigint, n bigint, parity binary, tokens array<bigint>")
+    return docs.mapInArrow(emit, "part int, data binary")
 
 
 def candidates(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
     """(a, b), a < b: pairs of nodes that may reach the threshold, among them all that do.
 
     A pair that does shares its first common token within both prefixes; what is left from there on bounds what it shares, so each
-    text of a posting, sorted by size, meets a range of larger ones. Differing parities bound what it doesn't share.
+    text of a posting, sorted by size, meets a range of larger ones. Differing sketches bound what it doesn't share.
     """
     grow = (1 + threshold) / threshold
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if whole is None:
+        blobs = [_unpacked(x.as_py()) for b in batches for x in b.column(1)]
+        if not blobs:
             return
-        whole = whole.combine_chunks()
-        part, node, n = (whole.column(k).to_numpy() for k in (0, 1, 2))
-        bits = np.frombuffer(b"".join(whole.column(3).to_pylist()), dtype=_U).reshape(len(node), -1)
-        lists = whole.column(4).combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
-        packed = lists.flatten().to_numpy().view(_U)
-        sig, left = packed >> _U(REST_BITS), (packed & _U((1 << REST_BITS) - 1)).astype(np.int64)
-        # The largest partner that a text may have from this token on.
-        most = np.where(left == (1 << REST_BITS) - 1, np.iinfo(np.int64).max, np.floor(left * grow + 1e-6).astype(np.int64) - n[row])
+        node, n, bits, counts, sig, left = (np.concatenate(x) for x in zip(*blobs))
+        del blobs
+        row = np.repeat(np.arange(len(node), dtype=np.int32), counts)
         order = np.lexsort((node[row], n[row], sig))
-        row, sig, most = row[order], sig[order], most[order]
+        row, sig, left = row[order], sig[order], left[order]
+        # Copies of a text come from several tasks: one of them stands in a posting.
+        one = np.append(True, (sig[1:] != sig[:-1]) | (node[row[1:]] != node[row[:-1]]))
+        row, sig, left = row[one], sig[one], left[one]
         size = n[row]
+        # The largest partner that a text may have from this token on.
+        most = np.floor(left * grow + 1e-6).astype(np.int64) - size
         run = np.cumsum(np.append(0, sig[1:] != sig[:-1]))
         span = int(size.max()) + 2
         upto = np.searchsorted(run * span + size, run * span + np.minimum(most, span - 1), side="right")
         count = np.maximum(upto - np.arange(len(row)) - 1, 0)
+        del sig, left, run, upto, order, one
         ends = np.cumsum(count)
         seen, k = [], 0
         while k < len(row):
@@ -174,14 +223,13 @@ def candidates(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
             x = np.repeat(np.arange(k, to), c)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
             ok = size[x] <= most[y]
-            x, y = row[x[ok]], row[y[ok]]
+            x, y = row[x[ok]].astype(np.int64), row[y[ok]].astype(np.int64)
             room = n[x] + n[y] - 2 * np.ceil((n[x] + n[y]) / grow - 1e-6).astype(np.int64)
             differ = np.zeros(len(x), dtype=np.int64)
-            for w in range(bits.shape[1]):
-                differ += np.bitwise_count(bits[x, w] ^ bits[y, w])
-                if w % 2:
-                    ok = differ <= room
-                    x, y, room, differ = x[ok], y[ok], room[ok], differ[ok]
+            for w in range(CELLS // 64):
+                differ += _differ(bits, x, y, w)
+                ok = differ <= room
+                x, y, room, differ = x[ok], y[ok], room[ok], differ[ok]
             ok = node[x] != node[y]
             seen.append(np.unique(np.minimum(x, y)[ok] * len(node) + np.maximum(x, y)[ok]))
             if len(seen) > 64:
@@ -204,16 +252,17 @@ def _bitmap(pairs: DataFrame) -> bytes:
             for k in (0, 1):
                 bits[b.column(k).to_numpy() & (size - 1)] = True
         if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["one", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // NEAR], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["near", "bits"])
 
     def join(table: pa.Table) -> pa.Table:
         total = np.zeros(size // 8, dtype=np.uint8)
         for x in table.column("bits"):
             total |= np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
-        return pa.table({"bits": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"near": pa.array([0], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    got = pairs.mapInArrow(mark, "one int, bits binary").groupBy("one").applyInArrow(join, "bits binary").collect()  # one row of 2 MB
-    return bytes(got[0].bits) if got else bytes(size // 8)
+    kind = "near int, bits binary"
+    got = pairs.mapInArrow(mark, kind).groupBy("near").applyInArrow(join, kind).groupBy("near").applyInArrow(join, kind).collect()  # one row of 2 MB
+    return zlib.decompress(got[0].bits) if got else bytes(size // 8)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, min_words: int, threshold: float) -> DataFrame:
