@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -193,6 +194,12 @@ def parse(text: str) -> Node:
     return b.root
 
 
+@functools.lru_cache(1)
+def shared(text: str) -> Node:
+    """The tree of a document for those who only read it; outputs of the same page have it in common."""
+    return parse(text)
+
+
 def unescape(text: str) -> str:
     return html.unescape(text)
 

@@ -1,4 +1,4 @@
-"""Pages to columns: one parse per page, in one pass over Arrow batches, for whatever outputs are asked."""
+"""Pages to columns, in one pass over Arrow batches, for whatever outputs are asked. Outputs that only read a page share its tree."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanspark.html import ops
+from gleanspark.html import cleaning, ops
 
 _TABLE = S.StructType([S.StructField("caption", S.StringType()), S.StructField("headers", S.ArrayType(S.StringType())), S.StructField("rows", S.ArrayType(S.ArrayType(S.StringType()))), S.StructField("row_count", S.IntegerType()), S.StructField("column_count", S.IntegerType())])
 #: Outputs by name: their type, and how they are made of a page's HTML and address.
@@ -22,6 +22,18 @@ FORMATS = {
     "tables": (S.ArrayType(_TABLE), lambda h, u: ops.tables(h)),
     "contacts": (S.StructType([S.StructField("emails", S.ArrayType(S.StringType())), S.StructField("phones", S.ArrayType(S.StringType())), S.StructField("socials", S.MapType(S.StringType(), S.StringType()))]), ops.contacts),
 }
+_LINKS = S.ArrayType(S.StringType())
+_RESULT = S.StructType([S.StructField("title", S.StringType()), S.StructField("url", S.StringType()), S.StructField("snippet", S.StringType()), S.StructField("position", S.IntegerType())])
+FORMATS |= {
+    "raw_html": (S.StringType(), lambda h, u: h),
+    "clean_html": (S.StringType(), lambda h, u: cleaning.clean_html(h)),
+    "text_only": (S.StringType(), lambda h, u: cleaning.text_only(h)),
+    "legacy_links": (_LINKS, cleaning.legacy_links),
+    "visible_links": (_LINKS, cleaning.visible_links),
+    "labelled_links": (S.ArrayType(S.StructType([S.StructField("text", S.StringType()), S.StructField("url", S.StringType())])), cleaning.labelled_links),
+    "sample": (S.StringType(), lambda h, u: cleaning.sample(h)),
+    "search_results": (S.ArrayType(_RESULT), lambda h, u: cleaning.search_results(h, 10)),
+}
 _FIELD = {"text": S.StringType(), "attribute": S.StringType(), "html": S.StringType(), "number": S.DoubleType(), "list": S.ArrayType(S.StringType())}
 
 
@@ -30,18 +42,21 @@ def _apply(pages: DataFrame, keys: Sequence[str], html: str, url: str, fields: l
     arrow = to_arrow_schema(out)
     rows = pages.select(*keys, pages[html].alias("_h"), pages[url].alias("_u"))
 
+    def tried(f, h, u) -> tuple[object, str | None]:
+        try:
+            return f(h, u), None
+        except Exception as e:  # a page that breaks an output is data, not a failed job
+            return None, f"{type(e).__name__}: {e}"[:500]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made, errors = [], []
             for h, u in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist()):
-                try:
-                    made.append(make(h, u) if h is not None else None)
-                    errors.append(None)
-                except Exception as e:  # a page that breaks an output is data, not a failed job
-                    made.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
+                got = [tried(f, h, u) for f in make] if h is not None else [(None, None)] * len(make)
+                made.append([x for x, _ in got])
+                errors.append("; ".join(e for _, e in got if e) or None)
             cols = [b.column(k) for k in range(len(keys))]
-            cols += [pa.array([None if m is None else m[k] for m in made], arrow.field(len(keys) + k).type) for k in range(len(fields))]
+            cols += [pa.array([m[k] for m in made], arrow.field(len(keys) + k).type) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string())], schema=arrow)
 
     return rows.mapInArrow(run, out)
@@ -52,7 +67,7 @@ def render(pages: DataFrame, formats: Sequence[str], keys: Sequence[str] = ("pag
     names = list(dict.fromkeys(f.lower() for f in formats))
     if unknown := [f for f in names if f not in FORMATS]:
         raise ValueError(f"unknown formats: {unknown}")
-    return _apply(pages, keys, html, url, [S.StructField(f, FORMATS[f][0]) for f in names], lambda h, u: [FORMATS[f][1](h, u) for f in names])
+    return _apply(pages, keys, html, url, [S.StructField(f, FORMATS[f][0]) for f in names], [FORMATS[f][1] for f in names])
 
 
 def schema_type(fields: list[dict]) -> S.StructType:
@@ -70,4 +85,4 @@ def schema_type(fields: list[dict]) -> S.StructType:
 def extract(pages: DataFrame, schema: dict, keys: Sequence[str] = ("page_id",), html: str = "html", url: str = "url") -> DataFrame:
     """keys, records (an array of the schema's struct) and page_error."""
     kind = S.ArrayType(schema_type(schema.get("fields") or []))
-    return _apply(pages, keys, html, url, [S.StructField("records", kind)], lambda h, u: [ops.extract(h, schema)])
+    return _apply(pages, keys, html, url, [S.StructField("records", kind)], [lambda h, u: ops.extract(h, schema)])
