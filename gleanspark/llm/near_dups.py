@@ -1,4 +1,4 @@
-"""Groups of near-duplicate texts, found exactly by prefixes of rare tokens."""
+"""Groups of near-duplicate texts, found exactly by prefixes: rare tokens alone, frequent ones in combinations of two."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ from gleanspark.session import checkpointed, release
 COUNT_BITS, BLOCKS = 20, 64
 #: Partial sketches of so many successive tasks are added up first, so that no task gets those of all.
 NEAR = 64
+#: Tokens of up to so many texts are indexed alone, more frequent ones in combinations of two.
+RARE = 1024
 #: Prefix tokens are dealt to parts of about so many; a part is held by one task.
 PART = 1 << 22
 #: Postings beyond so many texts are paired block by block, each pair of blocks in a part of its own choice.
@@ -136,12 +138,78 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return keys, n, bits, counts, sig, _unplaned(data, at + 4 * m, t)
 
 
+def _buckets(threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of text sizes: the least size of each, and the buckets of its frequent tokens.
+
+    Texts of the threshold are of one level or of two that follow one another. A text of a level has more than its buckets'
+    number of tokens, by enough that combinations within the buckets always outnumber the tokens that may be unshared.
+    """
+    least = np.append(1, np.ceil(5.25 * 4.0 ** np.arange(20)).astype(np.int64))
+    return least, np.maximum(1, np.floor(threshold * least + 1e-9).astype(np.int64) - 1)
+
+
+def _entries(owner: np.ndarray, tokens: np.ndarray, df: np.ndarray, rarity: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(text, signature, bound of the tokens shared, bound of its texts) of texts whose tokens stand in the order of rarity.
+
+    The rare tokens at the head of a text are signatures themselves. If they are fewer than the tokens that may be unshared and
+    one, the prefix is extended into the frequent tokens, which fall into buckets by their hash: two of a bucket together are a
+    signature. A bucket of c prefix tokens still shows a signature after any c - 2 of them are lost, so the prefix ends where
+    rare tokens and tokens behind the first of their bucket together outnumber what may be unshared. Of two texts of the
+    threshold, the one whose prefix ends first has a rare token or two tokens of a bucket in common with the other's prefix.
+    """
+    start = np.repeat(np.cumsum(n) - n, n)
+    place = np.arange(len(tokens)) - start
+    need = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    rare = rarity <= (np.array([RARE], np.float32).view(np.uint32)[0] >> 16)
+    s = np.bincount(owner[rare], minlength=len(n))
+    alone = rare & (place < need[owner])
+    out = [(owner[alone], mix(tokens[alone]), (n[owner] - place)[alone], df[alone])]
+    rest = np.flatnonzero(~rare & (s < need)[owner])
+    if len(rest):
+        least, buckets = _buckets(threshold)
+        level = np.searchsorted(least, n, side="right") - 1
+        # The larger of two texts takes part at the level of the smaller as well.
+        both = (level > 0) & (threshold * n <= least[level] - 1 + 1e-9)
+        again = rest[both[owner[rest]]]
+        at = np.concatenate([rest, again])
+        lower = np.repeat([0, 1], [len(rest), len(again)])
+        o = owner[at]
+        lev = level[o] - lower
+        unit = 2 * o + lower
+        by = np.lexsort((place[at], unit))
+        at, o, lev, unit = at[by], o[by], lev[by], unit[by]
+        bucket = ((mix(tokens[at] ^ _U(0x5BD1E995)) >> _U(20)) % buckets[lev].astype(_U)).astype(np.int64)
+        home = np.lexsort((np.arange(len(at)), bucket, unit))
+        first = np.flatnonzero(np.append(True, (unit[home][1:] != unit[home][:-1]) | (bucket[home][1:] != bucket[home][:-1])))
+        rank = np.empty(len(at), np.int64)
+        rank[home] = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        # Small texts' frequent tokens are signatures alone.
+        single = lev == 0
+        gain = (single | (rank > 0)).astype(np.int64)
+        total = np.cumsum(gain)
+        begin = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        before = total - gain - np.repeat((total - gain)[begin], np.diff(np.append(begin, len(at))))
+        inside = before < (need - s)[o]
+        # Prefix tokens of a bucket are the first of it, so each meets all those before it.
+        mates = np.where(inside & ~single, rank, 0)[home]
+        later = np.repeat(np.arange(len(home)), mates)
+        earlier = later - 1 - (np.arange(len(later)) - np.repeat(np.cumsum(mates) - mates, mates))
+        x, y = home[earlier], home[later]
+        with np.errstate(over="ignore"):
+            two = mix(mix(tokens[at[x]]) * _U(0xC2B2AE3D27D4EB4F) + tokens[at[y]] * _U(0x165667B19E3779F9) + lev[x].astype(_U))
+            one = mix(mix(tokens[at]) + _U(0xD6E8FEB86659FD93))
+        # Texts that share a rare token are found by it; others share at most what is left behind their rare tokens.
+        out.append((o[x], two, (n - s)[o[x]], df[at[x]]))
+        few = inside & single
+        out.append((o[few], one[few], (n - s)[o[few]], df[at[few]]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float, cells, parts: int) -> DataFrame:
-    """(part, data): the prefixes of the texts of each batch, all of their tokens, dealt to parts by token.
+    """(part, data): the signatures of the texts of each batch, dealt to parts.
 
-    Tokens are ordered by their cells' counts and then by themselves, alike in all texts. The prefix ends where too few tokens
-    are left to reach the threshold. An entry is 32 bits of the token beside its part, and the number of tokens from it to the
-    text's last; tokens that agree in these bits by chance only make more candidates.
+    Tokens are ordered by their cells' counts and then by themselves, alike in all texts. An entry is 32 bits of the signature
+    beside its part, and a bound of the tokens shared; signatures that agree in these bits by chance only make more candidates.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +221,12 @@ def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float,
             fresh[new] = True
             tokens, keys, n = tokens[np.repeat(fresh, np.diff(bounds))], keys[fresh], np.diff(bounds)[fresh]
             owner = np.repeat(np.arange(len(n)), n)
+            bits = _sketches(owner, tokens, len(n))
             df = held[(tokens & _U((1 << COUNT_BITS) - 1)).astype(np.int64)]
             # Upper bits of a float rise with it; equal keys stay in the order of the tokens.
-            rarity = (df.astype(np.float32).view(np.uint32) >> 16).astype(_U)
-            order = np.argsort((owner.astype(_U) << _U(47)) | (rarity << _U(32)) | (tokens & _U(0xFFFFFFFF)), kind="stable")
-            left = np.repeat(np.cumsum(n), n) - np.arange(len(tokens))
-            take = left >= np.repeat(np.ceil(threshold * n - 1e-9).astype(np.int64), n)
-            left, order = left[take], order[take]
-            o, sig, df = owner[order], mix(tokens[order]), df[order].astype(np.int64)
+            rarity = df.astype(np.float32).view(np.uint32) >> 16
+            order = np.argsort((owner.astype(_U) << _U(47)) | (rarity.astype(_U) << _U(32)) | (tokens & _U(0xFFFFFFFF)), kind="stable")
+            o, sig, left, df = _entries(owner, tokens[order], df[order].astype(np.int64), rarity[order], n, threshold)
             # A long posting: its texts are dealt to blocks, and each goes to all pairs of blocks that hold its own.
             blocks = -(-df // BLOCK)
             copies = np.repeat(np.arange(len(o)), blocks)
@@ -174,7 +240,6 @@ def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float,
             part, o, left, sig = part[by], o[by], left[by], (sig[by] >> _U(24)).astype(np.uint32)
             first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (o[1:] != o[:-1])))
             counts, who, where = np.diff(np.append(first, len(o))), o[first], part[first]
-            bits = _sketches(owner, tokens, len(n))
             starts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
             data = []
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(where)]):
@@ -189,8 +254,9 @@ def _prefix_rows(docs: DataFrame, words: int, min_words: int, threshold: float,
 def candidates(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
     """(a, b), a < b: pairs of nodes that may reach the threshold, among them all that do.
 
-    A pair that does shares its first common token within both prefixes; what is left from there on bounds what it shares, so each
-    text of a posting, sorted by size, meets a range of larger ones. Differing sketches bound what it doesn't share.
+    A pair that does has a signature in common: its first common token, if that is rare, else two frequent tokens. What is left
+    from there on bounds what it shares, so each text of a posting, sorted by size, meets a range of larger ones. Differing
+    sketches bound what it doesn't share.
     """
     grow = (1 + threshold) / threshold
 
@@ -207,7 +273,7 @@ def candidates(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
         one = np.append(True, (sig[1:] != sig[:-1]) | (node[row[1:]] != node[row[:-1]]))
         row, sig, left = row[one], sig[one], left[one]
         size = n[row]
-        # The largest partner that a text may have from this token on.
+        # The largest partner that a text may have by this signature.
         most = np.floor(left * grow + 1e-6).astype(np.int64) - size
         run = np.cumsum(np.append(0, sig[1:] != sig[:-1]))
         span = int(size.max()) + 2

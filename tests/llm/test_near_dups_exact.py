@@ -74,3 +74,56 @@ def test_short_and_repetitive_texts(spark):
         up[top(b)] = top(a)
     ids = sorted(groups)
     assert all((groups[a] == groups[b]) == (top(a) == top(b)) for a in ids for b in ids)
+
+
+@pytest.mark.parametrize("threshold, rare", [(0.6, 0), (0.6, 3), (0.8, 1), (0.35, 2)])
+def test_signatures_of_frequent_tokens(monkeypatch, threshold, rare):
+    """Each pair of sets at the threshold has a signature in common, with all, some or few tokens frequent; sizes from 1 to 700."""
+    import numpy as np
+
+    from gleanspark.llm.shingles import mix
+
+    monkeypatch.setattr(near_dups, "RARE", rare)
+    rng = random.Random(int(threshold * 100) + rare)
+    common, sets = [rng.getrandbits(46) for _ in range(900)], []
+    for size in [*range(1, 30), 60, 83, 84, 120, 200, 335, 336, 337, 500, 700]:
+        base = rng.sample(common, size)
+        sets.append(base)
+        for keep in (threshold, threshold + 0.03, 0.9):
+            k = max(1, int(np.ceil(keep * size)))
+            sets += [base[:k], base[:k] + rng.sample(common, min(3, size)), base[size - k :] + [rng.getrandbits(46)]]
+    sets = [np.array(sorted(set(x)), dtype=np.uint64) for x in {frozenset(x) for x in sets}]
+    n = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+    _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    df = counts[which].astype(np.int64)
+    rarity = df.astype(np.float32).view(np.uint32) >> 16
+    order = np.lexsort((mix(tokens), rarity, owner))
+    o, sig, left, _ = near_dups._entries(owner, tokens[order], df[order], rarity[order], n, threshold)
+    shown = {}
+    for text, x, most in zip(o.tolist(), sig.tolist(), left.tolist()):
+        shown.setdefault(text, {})[x] = max(most, shown.get(text, {}).get(x, 0))
+    held, pairs = [set(x.tolist()) for x in sets], 0
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(held[a] & held[b])
+            if shared and shared >= threshold * len(held[a] | held[b]) - 1e-9:
+                pairs += 1
+                assert any(min(shown[a][x], shown[b][x]) >= shared for x in shown[a].keys() & shown[b].keys())
+    assert pairs > 100
+
+
+@pytest.mark.parametrize("rare", [0, 4])
+def test_links_by_combinations(spark, monkeypatch, rare):
+    """The hot site and the long postings, with nearly all tokens taken for frequent."""
+    monkeypatch.setattr(near_dups, "RARE", rare)
+    rng = random.Random(11)
+    shared = fresh(rng, 160)
+    rows = [(k, " ".join(shared + fresh(rng, 50))) for k in range(20)]
+    template = fresh(rng, 202)
+    for k in range(15):
+        three = fresh(rng, 3)
+        rows += [(100 + 2 * k + x, " ".join(template + three + fresh(rng, 67))) for x in (0, 1)]
+    want = linked(rows, 3, 0.6)
+    got = {r.scrape_id: r.links for r in run(spark, rows, words=3, threshold=0.6).collect()}
+    assert got == {k: sum(k in p for p in want) for k, _ in rows}
