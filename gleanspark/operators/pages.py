@@ -10,6 +10,7 @@ from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanspark.html import cleaning, ops
+from gleanspark.operators import extraction
 
 _TABLE = S.StructType([S.StructField("caption", S.StringType()), S.StructField("headers", S.ArrayType(S.StringType())), S.StructField("rows", S.ArrayType(S.ArrayType(S.StringType()))), S.StructField("row_count", S.IntegerType()), S.StructField("column_count", S.IntegerType())])
 #: Outputs by name: their type, and how they are made of a page's HTML and address.
@@ -86,3 +87,43 @@ def extract(pages: DataFrame, schema: dict, keys: Sequence[str] = ("page_id",),
     """keys, records (an array of the schema's struct) and page_error."""
     kind = S.ArrayType(schema_type(schema.get("fields") or []))
     return _apply(pages, keys, html, url, [S.StructField("records", kind)], [lambda h, u: ops.extract(h, schema)])
+
+
+def _passed(rows: DataFrame, columns: Sequence[str], out: str, names: Sequence[str], make) -> DataFrame:
+    """The first column and what make gives for all of them, a tuple of the further output columns."""
+    arrow = to_arrow_schema(S.StructType.fromDDL(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [make(*r) for r in zip(*(c.to_pylist() for c in b.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], arrow.field(k + 1).type) for k in range(len(names)))], [columns[0], *names])
+
+    return rows.select(*columns).mapInArrow(run, out)
+
+
+def healed(pages: DataFrame, wanted: list[dict], derive=None, key: str = "page_id", html: str = "html", schema: str = "schema") -> DataFrame:
+    """(key, source, healed, healthy, degraded, record_count, ratio, error) of self-healing extraction; schema holds the cached one as JSON, or null."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def one(h: str | None, s: str | None) -> tuple:
+        got = extraction.self_heal(h, wanted, cached=extraction.parse_json(s)[1], derive=derive)
+        return tuple(got.get(k) for k in ("source", "healed", "healthy", "degraded", "record_count", "ratio", "error"))
+
+    return _passed(pages, [key, html, schema], f"{key} {kind}, source string, healed boolean, healthy boolean, degraded boolean, record_count int, ratio double, error string", ("source", "healed", "healthy", "degraded", "record_count", "ratio", "error"), one)
+
+
+def checked(rows: DataFrame, key: str, data: str, schema: dict) -> DataFrame:
+    """(key, errors) of data as JSON text against a JSON schema. What is no JSON is checked as null."""
+    kind = rows.schema[key].dataType.simpleString()
+    return _passed(rows, [key, data], f"{key} {kind}, errors array<string>", ["errors"], lambda d: (extraction.validate(extraction.parse_json(d)[1], schema),))
+
+
+def reported(rows: DataFrame, key: str, url: str, data: str) -> DataFrame:
+    """(key, report) of extracted objects as JSON text; the title is the data's own."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def one(u: str | None, d: str | None) -> tuple:
+        value = extraction.parse_json(d)[1] or {}
+        return (extraction.report(u or "", value.get("title"), value),)
+
+    return _passed(rows, [key, url, data], f"{key} {kind}, report string", ["report"], one)

@@ -11,8 +11,8 @@ from gleanspark.session import table
 
 
 def _scrapes(spark, d):
-    """Each scrape once: deliveries of one scrape are the same in every column but a map, which can't be compared."""
-    return table(spark, d, "scrapes").select("scrape_id", "crawl_id", "url", "title", "content", "content_type", "status", "scraped_at", "error").distinct()
+    """Each scrape once: its deliveries are the same in every column, so any will do, and columns that nobody asks for aren't read."""
+    return table(spark, d, "scrapes").dropDuplicates(["scrape_id"])
 
 
 def src1_pages(spark, d):
@@ -40,12 +40,12 @@ def jn1_unvisited(spark, d):
 
 
 def jn4_as_of(spark, d):
-    """Each scrape with the latest snapshot of its address before it."""
-    s = _scrapes(spark, d).where("url is not null").select("scrape_id", "url", "scraped_at", F.sha2("content", 256).alias("h"))
-    p = table(spark, d, "page_snapshots").select("url", F.col("scraped_at").alias("seen_at"), F.sha2("content", 256).alias("ph")).distinct()
-    j = s.join(p, "url", "left").where("seen_at is null or seen_at < scraped_at")
-    best = j.groupBy("scrape_id").agg(F.max(F.struct("seen_at", "ph")).alias("x"))
-    return s.join(best, "scrape_id", "left").select("scrape_id", F.when(F.col("x.seen_at").isNull(), "new").when(F.col("h").eqNullSafe(F.col("x.ph")), "same").otherwise("changed").alias("change_status"), F.col("x.seen_at").alias("previous_scrape_at"))
+    """Each scrape with the latest snapshot of its address before it: both in one order of time per address."""
+    s = _scrapes(spark, d).where("url is not null").select("url", F.col("scraped_at").alias("at"), "scrape_id", F.sha2("content", 256).alias("h"), F.lit(0).alias("taken"))
+    p = table(spark, d, "page_snapshots").where("url is not null and scraped_at is not null").select("url", F.col("scraped_at").alias("at"), F.lit(None).cast("bigint").alias("scrape_id"), F.sha2("content", 256).alias("h"), F.lit(1).alias("taken")).distinct()
+    before = Window.partitionBy("url").orderBy(F.col("at").asc_nulls_first(), "taken", F.col("h").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = s.unionByName(p).withColumn("x", F.last(F.when(F.col("taken") == 1, F.struct("at", "h")), ignorenulls=True).over(before)).where("taken = 0")
+    return x.select("scrape_id", F.when(F.col("x").isNull(), "new").when(F.col("h").eqNullSafe(F.col("x.h")), "same").otherwise("changed").alias("change_status"), F.col("x.at").alias("previous_scrape_at"))
 
 
 def txt1_tokens(spark, d):
@@ -99,11 +99,6 @@ def ext4_signature(spark, d):
     return table(spark, d, "scrapes").where("url is not null").select("url", F.when(U.host(F.col("url")) == "", F.col("url")).otherwise(F.concat(U.host(F.col("url")), p)).alias("signature")).distinct()
 
 
-def ext6_schema_keys(spark, d):
-    fields = "price:number,title:text"
-    return ext4_signature(spark, d).select("signature", F.concat(F.lit("selfheal:"), F.substring(F.sha2(F.concat(F.col("signature"), F.lit(f"::{fields}")), 256), 1, 40)).alias("schema_key")).distinct()
-
-
 def ext7_yield(spark, d):
     """Per site: share of records with each field; healthy if the least is half or more."""
     s = _scrapes(spark, d).withColumn("site", T.site_of(F.col("url"))).where("site is not null")
@@ -113,11 +108,11 @@ def ext7_yield(spark, d):
 
 
 def ext15_grounded(spark, d):
-    """Whether the title of a scrape is grounded in its content: within it, or three in five of its longer words are."""
-    s = _scrapes(spark, d).where("title is not null and content is not null").select("scrape_id", T.normalise_for_grounding(F.col("title")).alias("t"), T.normalise_for_grounding(F.col("content")).alias("c"))
+    """Whether the title of a scrape is grounded in its content: within it, or three in five of its longer words are; too short to tell counts as grounded."""
+    s = _scrapes(spark, d).where("title is not null and content is not null").select("scrape_id", "title", T.normalise_for_grounding(F.col("title")).alias("t"), T.normalise_for_grounding(F.col("content")).alias("c"))
     words = F.filter(F.split("t", " "), lambda w: F.length(w) > 2)
     hit = F.size(F.filter(words, lambda w: F.col("c").contains(w)))
-    return s.select("scrape_id", F.when(F.col("t") == "", False).otherwise(F.col("c").contains(F.col("t")) | ((F.size(words) > 0) & (hit >= F.size(words) * F.lit(0.6)))).alias("grounded"))
+    return s.select("scrape_id", F.when(F.col("title") == "", False).otherwise((F.length("t") < 2) | F.col("c").contains(F.col("t")) | (F.size(words) == 0) | (hit >= F.size(words) * F.lit(0.6))).alias("grounded"))
 
 
 def ext18_placeholders(spark, d):
@@ -239,9 +234,8 @@ SQL = {
     "txt8_keys": "SELECT DISTINCT url, options_fingerprint, left(sha256(url || '::' || options_fingerprint), 40) AS key FROM page_snapshots WHERE url IS NOT NULL AND options_fingerprint IS NOT NULL",
     "ext3_numbers": _S + r"SELECT scrape_id, try_cast(nullif(regexp_extract(replace(content, ',', ''), '-?[0-9]+(?:\.[0-9]+)?', 0), '') AS DOUBLE) AS number FROM s WHERE content IS NOT NULL",
     "ext4_signature": f"SELECT DISTINCT url, {_SIG} AS signature FROM scrapes WHERE url IS NOT NULL",
-    "ext6_schema_keys": f"SELECT DISTINCT signature, 'selfheal:' || left(sha256(signature || '::price:number,title:text'), 40) AS schema_key FROM (SELECT {_SIG} AS signature FROM scrapes WHERE url IS NOT NULL)",
     "ext7_yield": _S + f", r AS (SELECT {_SITE} AS site, count(*) AS records, avg(CASE WHEN {_TRIM.format('title')} <> '' THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN {_TRIM.format('content')} <> '' THEN 1.0 ELSE 0 END) AS b FROM s GROUP BY 1) SELECT site, records, least(a, b) AS ratio, least(a, b) >= 0.5 AS healthy FROM r WHERE site IS NOT NULL",
-    "ext15_grounded": _S + f", n AS (SELECT scrape_id, {_plain('title')} AS t, {_plain('content')} AS c FROM s WHERE title IS NOT NULL AND content IS NOT NULL), w AS (SELECT *, list_filter(string_split(t, ' '), lambda x: length(x) > 2) AS w FROM n) SELECT scrape_id, CASE WHEN t = '' THEN false ELSE contains(c, t) OR (len(w) > 0 AND len(list_filter(w, lambda x: contains(c, x))) >= len(w) * 0.6::DOUBLE) END AS grounded FROM w",
+    "ext15_grounded": _S + f", n AS (SELECT scrape_id, title, {_plain('title')} AS t, {_plain('content')} AS c FROM s WHERE title IS NOT NULL AND content IS NOT NULL), w AS (SELECT *, list_filter(string_split(t, ' '), lambda x: length(x) > 2) AS w FROM n) SELECT scrape_id, CASE WHEN title = '' THEN false ELSE length(t) < 2 OR contains(c, t) OR len(w) = 0 OR len(list_filter(w, lambda x: contains(c, x))) >= len(w) * 0.6::DOUBLE END AS grounded FROM w",
     "ag1_progress": _O + "SELECT *, done = total AS finished FROM g",
     "ag4_rollup": _O + "SELECT crawl_id, CASE WHEN done < total THEN 'processing' WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, CAST(floor(100.0::DOUBLE * done / total + 0.5) AS INTEGER) AS progress FROM g",
     "ag5_errors": _O + "SELECT crawl_id, job_id, error FROM o WHERE status = 'failed'",
