@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
 from gleanspark.functions import urls as U
+from gleanspark.plans.urls import _PARTS, _key
 from gleanspark.session import table
+from gleanspark.sources.exports import page_record
+
+
+# Requests a minute that each kind of endpoint allows.
+RATE_LIMITS = {"global": 120, "expensive": 20, "crawl": 10, "status": 600}
+#: Requests a day, and keys with limits of their own; these are settings of an installation.
+DAILY_QUOTA, QUOTA_OVERRIDES = 100, {1: 5, 2: 0}
 
 
 def _scrapes(spark, d):
@@ -33,9 +41,9 @@ def src14_known(spark, d):
 
 
 def jn1_unvisited(spark, d):
-    """Frontier without the visited: by normal form, each once."""
-    f = table(spark, d, "crawl_jobs").where("url is not null").select("url", U.crawl_key(F.col("url")).alias("key")).groupBy("key").agg(F.min("url").alias("url"))
-    seen = table(spark, d, "scrapes").where("url is not null").select(U.crawl_key(F.col("url")).alias("key")).distinct()
+    """Addresses of pages and jobs that no scrape of html visited: by normal form, each once."""
+    f = table(spark, d, "crawl_jobs").select("url").unionByName(table(spark, d, "pages").select("url")).where("url is not null").select("url", U.crawl_key(F.col("url")).alias("key")).groupBy("key").agg(F.min("url").alias("url"))
+    seen = table(spark, d, "scrapes").where("url is not null and content_type = 'html'").select(U.crawl_key(F.col("url")).alias("key")).distinct()
     return f.join(seen, "key", "left_anti")
 
 
@@ -161,13 +169,19 @@ def cr10_estimate(spark, d):
 
 
 def cr18_rate(spark, d):
+    """Requests per key and minute against the limits of each kind of endpoint."""
     e = table(spark, d, "events").groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
-    return e.select("user_id", "minute", "n", (F.col("n") > 2).alias("over_limit"))
+    return e.select("user_id", "minute", "n", *[(F.col("n") > limit).alias(f"over_{name}") for name, limit in RATE_LIMITS.items()])
 
 
 def cr19_quota(spark, d):
+    """Usage per key and day: some keys have limits of their own, a limit of zero is none."""
     e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
-    return e.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "used", F.greatest(F.lit(0), F.lit(10) - F.col("used")).alias("remaining"))
+    limit = F.lit(DAILY_QUOTA)
+    for key, own in QUOTA_OVERRIDES.items():
+        limit = F.when(F.col("user_id") == key, own).otherwise(limit)
+    e = e.withColumn("daily_limit", F.when(limit > 0, limit))
+    return e.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "used", "daily_limit", F.greatest(F.lit(0), F.col("daily_limit") - F.col("used")).alias("remaining"), (F.col("used") > F.col("daily_limit")).alias("exceeded"))
 
 
 def cr25_retry(spark, d):
@@ -187,19 +201,16 @@ def tk5_recent(spark, d):
 def snk1_filenames(spark, d):
     """Names of exported files: date, crawl, host, path and query, with other characters as one underscore."""
     u = F.col("url")
-    safe = lambda c, n: F.substring(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9.-]+", "_"), "^_+|_+$", ""), 1, n)
-    parts = F.array(F.date_format("scraped_at", "yyyy-MM-dd"), F.substring("crawl_id", 1, 8), U.domain(u), F.nullif(safe(U.path(u), 100), F.lit("")), F.nullif(safe(U.query(u), 50), F.lit("")))
-    return _scrapes(spark, d).where("url is not null and crawl_id is not null and content_type = 'markdown'").select("scrape_id", F.concat(F.substring(F.array_join(F.filter(parts, lambda x: x.isNotNull()), "_"), 1, 170), F.lit(".md")).alias("file"))
-
+    path = F.substring(F.regexp_replace(F.regexp_replace(U.path(u), "[^A-Za-z0-9.-]+", "_"), "^_+|_+$", ""), 1, 100)
+    query = F.substring(F.regexp_replace(F.regexp_replace(U.query(u), "[^A-Za-z0-9.&=-]+", "_"), "_+$", ""), 1, 50)
+    parts = F.array(F.date_format("scraped_at", "yyyy-MM-dd"), F.substring("crawl_id", 1, 8), U.domain(u), F.nullif(path, F.lit("")), F.nullif(query, F.lit("")))
+    return _scrapes(spark, d).where("url is not null and crawl_id is not null and content_type = 'markdown'").select("scrape_id", F.concat(F.substring(F.array_join(F.filter(parts, lambda x: x.isNotNull()), "_"), 1, 150), F.lit(".md")).alias("file"))
 
-def snk5_json(spark, d):
-    return _scrapes(spark, d).where("content is not null").select("scrape_id", F.length(F.to_json(F.struct("url", "title", "content"))).alias("n")).where("n > 0").select("scrape_id")
 
-
-def prj18_listing(spark, d):
-    """Lines of a site overview: one per site, titles in order."""
-    s = _scrapes(spark, d).withColumn("site", T.site_of(F.col("url"))).where("site is not null and title is not null")
-    return s.groupBy("site").agg(F.count("*").alias("pages"), F.min("title").alias("first_title"), F.max("scraped_at").alias("last"))
+def prj18_records(spark, d):
+    """The public view of each scrape."""
+    r = page_record(F.col("url"), F.col("title"), F.col("content"), F.struct("status", "scraped_at"))
+    return _scrapes(spark, d).select("scrape_id", r.alias("r")).select("scrape_id", "r.url", "r.title", "r.markdown", "r.metadata.status", "r.metadata.scraped_at")
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0][:2] in ("sr", "jn", "tx", "pr", "ex", "ag", "cr", "tk", "sn") and callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
@@ -219,6 +230,10 @@ g AS (SELECT crawl_id, count(*) AS total, count(*) FILTER (status = 'completed')
 """
 
 
+_UNVISITED = _PARTS.replace("SELECT DISTINCT url FROM scrapes WHERE url IS NOT NULL", "SELECT url FROM crawl_jobs WHERE url IS NOT NULL UNION SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT url FROM scrapes WHERE url IS NOT NULL AND content_type = 'html'") + f""", k AS (SELECT url, {_key(U.TRACKING_CRAWL, True)} AS key FROM h)
+SELECT key, min(url) AS url FROM k WHERE url IN (SELECT url FROM crawl_jobs UNION SELECT url FROM pages) AND key NOT IN (SELECT key FROM k WHERE url IN (SELECT url FROM scrapes WHERE url IS NOT NULL AND content_type = 'html')) GROUP BY key"""
+
+
 def _plain(c):
     return f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9{_WS[1:-2]}]', ' ', 'g'), '{_WS}', ' ', 'g'))"
 
@@ -242,10 +257,16 @@ SQL = {
     "ag7_histogram": _O + ", x AS (SELECT status, (epoch_us(received_at) - epoch_us(ts)) / 1e6 AS s FROM j) SELECT status, count(*) FILTER (s <= 0.5) AS le_05, count(*) FILTER (s <= 1) AS le_1, count(*) FILTER (s <= 5) AS le_5, count(*) FILTER (s <= 3600) AS le_3600, count(*) AS n FROM x GROUP BY ALL",
     "ag12_throughput": _O + "SELECT date_trunc('hour', ts) AS hour, count(*) AS jobs, count(*) / 60.0 AS per_minute FROM j WHERE status = 'completed' GROUP BY ALL",
     "cr10_estimate": _O + "SELECT crawl_id, CAST(ceil(count(*) / 5.0::DOUBLE * 30000) AS BIGINT) AS millis FROM o GROUP BY ALL",
-    "cr18_rate": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 2 AS over_limit FROM events GROUP BY ALL",
-    "cr19_quota": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, greatest(0, 10 - count(*)) AS remaining FROM events GROUP BY ALL",
+    "cr18_rate": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, " + ", ".join(f"count(*) > {v} AS over_{k}" for k, v in RATE_LIMITS.items()) + " FROM events GROUP BY ALL",
+    "cr19_quota": "WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, CASE user_id WHEN 1 THEN 5 WHEN 2 THEN NULL ELSE 100 END AS daily_limit FROM events GROUP BY 1, 2) SELECT user_id, day, used, daily_limit, greatest(0, daily_limit - used) AS remaining, used > daily_limit AS exceeded FROM e",
     "cr25_retry": _O + "SELECT job_id, attempt, received_at, coalesce(regexp_matches(lower(error), '429|too many requests|rate limit'), false) AS limited, least(10000.0::DOUBLE, 1000.0::DOUBLE * power(2.0::DOUBLE, attempt - 1)) AS wait_ms FROM j WHERE status = 'failed'",
     "tk4_page": _S + "SELECT scrape_id, url FROM s ORDER BY scrape_id LIMIT 20 OFFSET 20",
     "tk5_recent": "SELECT crawl_id, max(ts) AS last FROM crawl_jobs GROUP BY ALL ORDER BY last DESC, crawl_id LIMIT 100",
-    "prj18_listing": _S + f"SELECT {_SITE} AS site, count(*) AS pages, min(title) AS first_title, max(scraped_at) AS last FROM s WHERE {_SITE} IS NOT NULL AND title IS NOT NULL GROUP BY 1",
+    "prj18_records": _S + "SELECT scrape_id, coalesce(url, '') AS url, coalesce(title, '') AS title, coalesce(content, '') AS markdown, status, scraped_at FROM s",
+    "src3_fallback": _S + f", g AS (SELECT *, length({_TRIM.format('content')}) > 200 AS good FROM s WHERE content IS NOT NULL AND url IS NOT NULL) SELECT url, scrape_id, good FROM g QUALIFY row_number() OVER (PARTITION BY url ORDER BY good DESC, CASE WHEN good THEN scraped_at END NULLS FIRST, scraped_at DESC NULLS LAST, scrape_id) = 1",
+    "prj16_contacts": r"SELECT doc_id, array_to_string(list_filter(list_distinct_ordered, lambda e: NOT regexp_matches(e, '\.(png|jpg|jpeg|gif|webp|svg)$') AND NOT contains(e, 'example.com'))[1:100], ',') AS emails FROM (SELECT doc_id, list_transform(list_filter(m, lambda x, i: list_position(m, x) = i), lambda x: x) AS list_distinct_ordered FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: lower(x)) AS m FROM documents WHERE text IS NOT NULL))",
+    "prj20_description": _S + f"SELECT scrape_id, left(coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda l: {_TRIM.format('l')}), lambda l: length(l) > 30 AND NOT starts_with(l, '#') AND NOT starts_with(l, '['))[1], ''), 200) AS description FROM s WHERE content IS NOT NULL",
+    "ext18_placeholders": _S + r"SELECT scrape_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') AS names FROM (SELECT scrape_id, regexp_extract_all(content, '\{(\w+)\}', 1) AS m FROM s WHERE content IS NOT NULL)",
+    "snk1_filenames": _S + rf"SELECT scrape_id, left(array_to_string(list_filter([strftime(scraped_at, '%Y-%m-%d'), left(crawl_id, 8), regexp_replace({_HOST}, '^www\.', ''), nullif(left(regexp_replace(regexp_replace({_PATH}, '[^A-Za-z0-9.-]+', '_', 'g'), '^_+|_+$', '', 'g'), 100), ''), nullif(left(regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '[^A-Za-z0-9.&=-]+', '_', 'g'), '_+$', '', 'g'), 50), '')], lambda x: x IS NOT NULL), '_'), 150) || '.md' AS file FROM s WHERE url IS NOT NULL AND crawl_id IS NOT NULL AND content_type = 'markdown'",
+    "jn1_unvisited": _UNVISITED,
 }

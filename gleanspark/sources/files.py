@@ -82,12 +82,38 @@ def alive(cache: DataFrame, now, expires: str = "expires_at") -> DataFrame:
     return cache.where(F.col(expires).isNull() | (F.col(expires) > F.lit(now)))
 
 
-def metrics_text(rows: DataFrame) -> DataFrame:
-    """(line): counters of (name, labels map, value) as lines of the Prometheus text format, labels in order."""
+def label_key(labels):
+    """Labels in order as {name="value",...}, with backslashes, quotes and line ends escaped; '' where there are none."""
     escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"'))), ",")
-    key = F.when(F.coalesce(F.size("labels"), F.lit(0)) > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise("")
-    return rows.groupBy("name", key.alias("key")).agg(F.sum("value").alias("v")).select(F.concat("name", "key", F.lit(" "), F.col("v").cast("string")).alias("line"))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"'))), ",")
+    return F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise("")
+
+
+def metrics_text(rows: DataFrame) -> DataFrame:
+    """(line): counters of (name, labels map, value), added up per series."""
+    return rows.groupBy("name", label_key(F.col("labels")).alias("key")).agg(F.sum("value").alias("v")).select(F.concat("name", "key", F.lit(" "), F.col("v").cast("string")).alias("line"))
+
+
+def metrics(counters: DataFrame | None = None, gauges: DataFrame | None = None, observed: DataFrame | None = None, buckets: tuple = (0.1, 0.5, 1, 5, 10, 30, 60)) -> DataFrame:
+    """(line): a line for the type of each metric and its series. Counters are added up, gauges are as given, observations fall into cumulative buckets."""
+    out = []
+    for rows, kind in ((counters, "counter"), (gauges, "gauge"), (observed, "histogram")):
+        if rows is not None:
+            out.append(rows.select("name").distinct().select(F.concat(F.lit("# TYPE "), "name", F.lit(f" {kind}")).alias("line")))
+    if counters is not None:
+        out.append(metrics_text(counters))
+    if gauges is not None:
+        out.append(gauges.select(F.concat("name", label_key(F.col("labels")), F.lit(" "), F.col("value").cast("string")).alias("line")))
+    if observed is not None:
+        g = observed.groupBy("name", label_key(F.col("labels")).alias("key")).agg(F.array(*[F.count_if(F.col("value") <= b) for b in buckets], F.count("*")).alias("n"), F.sum("value").alias("sum"))
+        inner = F.when(F.col("key") == "", "").otherwise(F.concat(F.substring(F.col("key"), F.lit(2), F.length("key") - 2), F.lit(",")))
+        at = F.array(*[F.lit(str(b)) for b in buckets], F.lit("+Inf"))
+        lines = F.concat(F.zip_with(at, "n", lambda b, n: F.concat("name", F.lit("_bucket{"), inner, F.lit('le="'), b, F.lit('"} '), n.cast("string"))), F.array(F.concat("name", F.lit("_sum"), "key", F.lit(" "), F.col("sum").cast("string")), F.concat("name", F.lit("_count"), "key", F.lit(" "), F.element_at("n", -1).cast("string"))))
+        out.append(g.select(F.explode(lines).alias("line")))
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.unionByName(df)
+    return whole
 
 
 def slug(name: str) -> bool:
