@@ -35,15 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the shared folder of the cluster.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests on one machine,
-    a temporary folder is used.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and the master is this machine, as in
+    tests, a temporary folder is used; on a cluster it is an error, since executors don't share such a folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gleanspark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what executors share."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="gleanspark-")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished plans, which otherwise stay until the driver's next collection."""
     for _ in range(2):  # what the first collection finds may hold on to more

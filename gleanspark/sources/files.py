@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import urls as U
 from gleanspark.html import ops
+from gleanspark.session import checkpointed
 
 MAX_BYTES = 25 * 1024 * 1024
 
@@ -50,25 +51,58 @@ def documents(files: DataFrame, path: str = "path", content: str = "content") ->
     return files.where(F.col(content).isNotNull()).select(F.col(path).alias("path"), kind_of(F.col(content)).alias("kind"), F.col(content).alias("content")).mapInArrow(run, "path string, kind string, text string, error string")
 
 
-def sitemap_urls(maps: DataFrame, url: str = "url", body: str = "body", depth: int = 5) -> DataFrame:
+def unzipped(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with body: the bytes as text, unpacked first where they are gzip; null where that fails."""
+    import gzip
+
+    names = [c for c in files.columns if c != content]
+
+    def text(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
+        except (OSError, EOFError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([text(x) for x in b.columns[-1].to_pylist()], pa.string())], [*names, "body"])
+
+    kinds = ", ".join(f"`{n}` {files.schema[n].dataType.simpleString()}" for n in names)
+    return files.select(*names, content).mapInArrow(run, f"{kinds}, body string")
+
+
+def _locations(body):
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+
+
+def sitemap_urls(maps: DataFrame, url: str = "url", body: str = "body", depth: int = 5, starts: DataFrame | None = None) -> DataFrame:
     """(url): valid addresses of site maps, given as a table of their bodies; indexes lead to other rows of it.
 
-    Levels are at most depth, and a map is read once, so cycles end. Bodies are XML or lines of text.
+    Levels are at most depth, and a map is read once, so cycles end. Bodies are XML or lines of text. Without starts, all
+    maps are read that no other leads to.
     """
     rows = maps.select(F.col(url).alias("m"), F.col(body).alias("b")).where("b is not null")
-    locs = F.transform(F.regexp_extract_all("b", F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
     is_index = F.col("b").rlike(r"(?i)<sitemapindex[\s>]")
-    found = rows.select("m", is_index.alias("index"), F.explode(F.when(F.col("b").rlike(r"(?i)<(urlset|sitemapindex)[\s>]"), locs).otherwise(F.transform(F.split("b", r"\r?\n"), F.trim))).alias("u")).where(U.is_valid(F.col("u")))
-    children = found.where("index").select(F.col("u").alias("m")).distinct()
-    front = rows.select("m").distinct().join(children, "m", "left_anti")
-    seen, out = front, None
-    for _ in range(depth):
-        here = found.join(front, "m", "left_semi")
-        pages = here.where("not index").select("u")
-        out = pages if out is None else out.unionByName(pages)
-        front = here.where("index").select(F.col("u").alias("m")).distinct().join(seen, "m", "left_anti")
+    found = rows.select("m", is_index.alias("index"), F.explode(F.when(F.col("b").rlike(r"(?i)<(urlset|sitemapindex)[\s>]"), _locations(F.col("b"))).otherwise(F.transform(F.split("b", r"\r?\n"), F.trim))).alias("u")).where(U.is_valid(F.col("u")))
+    # Indexes alone are followed level by level; the pages of all maps that were reached are read once at the end.
+    edges = checkpointed(found.where("index").select("m", "u").distinct())
+    children = edges.select(F.col("u").alias("m")).distinct()
+    front = rows.select("m").distinct().join(children, "m", "left_anti") if starts is None else starts.select(F.col("url").alias("m")).distinct()
+    seen = front = checkpointed(front)
+    for _ in range(depth - 1):
+        front = checkpointed(edges.join(front, "m").select(F.col("u").alias("m")).distinct().join(seen, "m", "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
-    return out.select(F.col("u").alias("url")).distinct()
+    return found.where("not index").join(seen, "m", "left_semi").select(F.col("u").alias("url")).distinct()
+
+
+def sitemap_entries(maps: DataFrame, body: str = "body") -> DataFrame:
+    """(url, lastmod, changefreq, priority) of the entries of url sets; what an entry lacks is null."""
+    entry = F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1)))
+    tag = lambda n: F.nullif(F.trim(F.regexp_extract("e", rf"(?is)<{n}>\s*(.*?)\s*</{n}>", 1)), F.lit(""))
+    rows = maps.select(entry.alias("e")).select(F.try_element_at(_locations(F.col("e")), F.lit(1)).alias("url"), tag("lastmod").alias("lastmod"), tag("changefreq").alias("changefreq"), tag("priority").try_cast("double").alias("priority"))
+    return rows.where(U.is_valid(F.col("url")))
 
 
 def robots_sitemaps(robots: DataFrame, body: str = "body") -> DataFrame:
