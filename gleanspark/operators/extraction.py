@@ -154,7 +154,7 @@ def validate(value, schema, at: str = "") -> list[str]:
     if kinds := schema.get("type"):
         kinds = kinds if isinstance(kinds, list) else [kinds]
         tried = [_coerced(value, k) for k in kinds]
-        exact = [k for k in kinds if isinstance(value, _JSON_TYPES.get(k, int | float)) and not (k in ("number", "integer") and isinstance(value, bool))]
+        exact = [k for k, (ok, _) in zip(kinds, tried) if ok and isinstance(value, _JSON_TYPES.get(k, int | float)) and not (k in ("number", "integer") and isinstance(value, bool))]
         if not exact and not any(ok for ok, _ in tried):
             return [f"{where} must be {', '.join(kinds)}"]
         if not exact:

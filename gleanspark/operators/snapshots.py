@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of the key hash per level of the tree, and levels below the root: 16 children a node, 4096 leaves.
-BITS, LEVELS = 4, 3
+#: Bits of the key hash per level of the tree: 16 children a node. Levels below the root where none are given, and at most.
+BITS, LEVELS, MOST_LEVELS = 4, 3, 7
+#: Records of a snapshot per leaf. More would let every leaf differ where few records do.
+LEAF = 4
+
+
+def levels_for(rows: int, snapshots: int, bits: int = BITS) -> int:
+    """Levels of a tree whose leaves hold about LEAF records of a snapshot."""
+    leaves = max(1.0, rows / max(1, snapshots) / LEAF)
+    return min(MOST_LEVELS, max(1, math.ceil(math.log(leaves, 1 << bits) - 1e-9)))
 
 
 def _null_safe_hash(cols: Sequence[Column], seed: int) -> Column:
@@ -74,12 +83,14 @@ def snapshot_changes(
     taken: str = "scraped_at",
     delivered: str | None = "delivered_at",
     with_diff: bool = False,
+    max_lines: int | None = None,
 ) -> DataFrame:
     """Records added, removed or changed between each delivered snapshot and the one before it.
 
     Returns snapshot, keys, change_status, previous_scrape_at and, with_diff, added and removed: the distinct
-    non-blank trimmed lines of the new and the old content that the other lacks, in order. Rows of unchanged hash
-    ranges are never compared; contents are read only for records that changed.
+    non-blank trimmed lines of the new and the old content that the other lacks, in order, max_lines of each if given. Rows
+    of unchanged hash ranges are never compared; contents are read only for records that changed. Levels of the tree
+    follow from the number of rows.
 
     Nulls: rows without a snapshot number belong to none; null keys are values like others; null content equals null
     alone, and the empty text differs from it. A null scrape time is earlier than any. Repeated rows count once. The
@@ -90,9 +101,10 @@ def snapshot_changes(
     latest = latest_takes(snaps, keys, snapshot, content, taken, delivered)
     numbers = snaps.select(F.col(snapshot).alias("_c")).where("_c is not null").distinct()
     pairs = numbers.select(F.lag("_c").over(Window.orderBy("_c")).alias("_p"), "_c").where("_p is not null")
-    alive = differing_buckets(merkle_leaves(latest, n), pairs)
+    levels = levels_for(snaps.count(), numbers.count())
+    alive = differing_buckets(merkle_leaves(latest, n, BITS, levels), pairs, BITS, levels)
     sides = alive.select("_p", "_c", "_b", F.posexplode(F.array("_p", "_c")).alias("_side", "_s"))
-    rows = latest.withColumn("_b", bucket(n)).join(sides, ["_s", "_b"])
+    rows = latest.withColumn("_b", bucket(n, BITS, levels)).join(sides, ["_s", "_b"])
     new, old = F.col("_side") == 1, F.col("_side") == 0
     diff = (
         rows.groupBy("_p", "_c", *ks)
@@ -103,10 +115,10 @@ def snapshot_changes(
     names = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
     if not with_diff:
         return diff.select(F.col("_c").alias(snapshot), *names, "change_status", "previous_scrape_at")
-    return _with_lines(snaps, diff, keys, snapshot, content)
+    return _with_lines(snaps, diff, keys, snapshot, content, max_lines)
 
 
-def _with_lines(snaps: DataFrame, diff: DataFrame, keys: Sequence[str], snapshot: str, content: str) -> DataFrame:
+def _with_lines(snaps: DataFrame, diff: DataFrame, keys: Sequence[str], snapshot: str, content: str, max_lines: int | None = None) -> DataFrame:
     """Adds the lines. Contents are fetched by snapshot, key and digest, for the changed records only."""
     from gleanspark.functions.text import js_trim
 
@@ -119,7 +131,36 @@ def _with_lines(snaps: DataFrame, diff: DataFrame, keys: Sequence[str], snapshot
     empty = F.array().cast("array<string>")
     renamed = got.select(F.col("_p").alias("gp"), F.col("_c").alias("gc"), *[F.col(k).alias(f"g{k}") for k in ks], F.coalesce("ln", empty).alias("ln"), F.coalesce("lo", empty).alias("lo"))
     back = diff.join(renamed, [diff["_c"] == renamed.gc, *[diff[k].eqNullSafe(renamed[f"g{k}"]) for k in ks]], "left")
+    some = lambda c: F.coalesce(c if max_lines is None else F.slice(c, 1, max_lines), empty)
     return back.select(
         F.col("_c").alias(snapshot), *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "change_status", "previous_scrape_at",
-        F.coalesce(F.array_except("ln", "lo"), empty).alias("added"), F.coalesce(F.array_except("lo", "ln"), empty).alias("removed"),
+        some(F.array_except("ln", "lo")).alias("added"), some(F.array_except("lo", "ln")).alias("removed"),
     )
+
+
+def unified_diffs(snaps: DataFrame, keys: Sequence[str] = ("url", "options_fingerprint"), snapshot: str = "snapshot_no", content: str = "content", taken: str = "scraped_at", delivered: str | None = "delivered_at", context: int = 3) -> DataFrame:
+    """(snapshot, keys, diff): the changed records of snapshot_changes with a unified diff of the old and new content. Null contents are empty."""
+    import difflib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    n = len(keys)
+    changed = snapshot_changes(snaps, keys, snapshot, content, taken, delivered).where("change_status = 'changed'").select(F.col(snapshot).alias("_c"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    numbers = snaps.select(F.col(snapshot).alias("_c")).where("_c is not null").distinct()
+    pairs = numbers.select(F.lag("_c").over(Window.orderBy("_c")).alias("_p"), "_c").where("_p is not null")
+    when = [F.col(taken)] + ([F.col(delivered)] if delivered else [])
+    order = F.struct(*[w.alias(f"w{i}") for i, w in enumerate(when)], F.unhex(F.sha2(F.col(content).cast("binary"), 256)).alias("d"))
+    texts = snaps.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("_s"), *[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)], order.alias("o"), F.col(content).alias("x"))
+    need = changed.join(pairs, "_c").select("_c", *[f"_k{i}" for i in range(n)], F.posexplode(F.array("_p", "_c")).alias("side", "_s"))
+    got = need.join(texts, [need["_s"] == texts["_s"], *[need[f"_k{i}"].eqNullSafe(texts[f"t{i}"]) for i in range(n)]])
+    best = got.groupBy("_c", *[f"_k{i}" for i in range(n)]).agg(*[F.max(F.when(F.col("side") == k, F.struct("o", "x"))).alias(name) for k, name in ((0, "old"), (1, "new"))])
+    rows = best.select("_c", *[f"_k{i}" for i in range(n)], F.coalesce("old.x", F.lit("")).alias("old"), F.coalesce("new.x", F.lit("")).alias("new"))
+    kinds = [snaps.schema[snapshot].dataType.simpleString(), *[snaps.schema[k].dataType.simpleString() for k in keys]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = ["\n".join(difflib.unified_diff(o.split("\n"), w.split("\n"), "previous", "current", n=context, lineterm="")) for o, w in zip(b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(made, pa.string())], [snapshot, *keys, "diff"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip([snapshot, *keys], kinds)) + ", diff string")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gleanspark.operators.chunker import chunks
 from gleanspark.operators.crawl import crawl
+from gleanspark.functions import urls as U
+from gleanspark.plans.urls import _PARTS, _key
 from gleanspark.session import table
 
 
@@ -23,4 +25,8 @@ def txt2_chunks(spark, d):
 
 
 QUERIES = {"cr3_crawl": cr3_crawl, "txt2_chunks": txt2_chunks}
-SQL: dict[str, str] = {}
+SQL = {
+    "cr3_crawl": _PARTS.replace("SELECT DISTINCT url FROM scrapes WHERE url IS NOT NULL", "SELECT DISTINCT url FROM pages WHERE url IS NOT NULL").replace("WITH u0", "WITH RECURSIVE u0") + f""", k AS (SELECT url, {_key(U.TRACKING_CRAWL, True)} AS key FROM h), p AS (SELECT page_id, min(url) AS url FROM pages WHERE url IS NOT NULL GROUP BY page_id), q AS (SELECT page_id, key FROM p JOIN k USING (url)), m AS (SELECT max(page_id) + 1 AS n FROM p),
+e AS (SELECT DISTINCT a.key AS src, b.key AS dst FROM q a, m, q b WHERE b.page_id = (a.page_id * 7 + 3) % n OR b.page_id = (a.page_id * 3 + 1) % n), r AS (SELECT key, 0 AS depth FROM q WHERE page_id = 1 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = r.key WHERE depth < 4)
+SELECT key AS url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY key""",
+}

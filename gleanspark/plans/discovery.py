@@ -267,6 +267,11 @@ SELECT page, method, url, status, content_type, resource_type, is_json, CAST(row
     "jn9_candidates": _GUESS + "SELECT origin, count(*) AS n, min(url) AS least, max(url) AS most FROM g GROUP BY origin",
     "cr7_interleaved": f"WITH u AS (SELECT url, min(scrape_id) AS ord, {_HOST} AS host FROM scrapes WHERE url IS NOT NULL GROUP BY url), n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ord) AS n FROM u) SELECT host, url FROM n ORDER BY n, host LIMIT 1000",
     "cr8_kickoff": PU._PARTS + f", k AS (SELECT url, {PU._key(U.TRACKING_CRAWL, True)} AS key FROM h WHERE host <> ''), a AS (SELECT url, key, 15 AS priority FROM k UNION ALL SELECT '{SEED}', '{SEED}', 5) SELECT url, CAST(priority AS INTEGER) AS priority FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, url) = 1",
+    "jn2_unseen": PU._PARTS.replace("SELECT DISTINCT url FROM scrapes WHERE url IS NOT NULL", "SELECT DISTINCT url FROM (SELECT url FROM scrapes UNION SELECT url FROM pages UNION SELECT url FROM crawl_jobs) WHERE url IS NOT NULL") + f""", k AS (SELECT url, sch, host, {PU._PORT} AS p, {PU._BARE} AS path, {PU._key(U.TRACKING_CRAWL, True)} AS n FROM h),
+q AS (SELECT *, CASE WHEN contains(n, '?') THEN '?' || string_split(n, '?')[2] ELSE '' END AS qq, CASE WHEN path LIKE '%/' THEN path ELSE path || '/' END AS sl, CASE WHEN host LIKE 'www.%' THEN substr(host, 5) ELSE 'www.' || host END AS oh FROM k),
+v AS (SELECT url, unnest([n, sch || '://' || host || p || sl || qq, sch || '://' || oh || p || path || qq, sch || '://' || oh || p || sl || qq, CASE sch WHEN 'https' THEN 'http' WHEN 'http' THEN 'https' END || '://' || host || p || path || qq,
+ CASE WHEN NOT contains(path, '.') THEN sch || '://' || host || p || sl || 'index.html' || qq ELSE n END, CASE WHEN path LIKE '%/index.html' THEN sch || '://' || host || p || replace(path, '/index.html', '/') || qq ELSE n END]) AS variant FROM q),
+s AS (SELECT n FROM k WHERE url IN (SELECT url FROM scrapes WHERE url IS NOT NULL AND content_type = 'html')) SELECT DISTINCT url FROM v WHERE url IN (SELECT url FROM crawl_jobs UNION SELECT url FROM pages) AND url NOT IN (SELECT url FROM v WHERE variant IN (SELECT n FROM s))""",
     "jn6_schemas": f"WITH u AS (SELECT DISTINCT url, {_SITE} AS site FROM scrapes WHERE url IS NOT NULL) SELECT url, CASE WHEN site IS NOT NULL AND length(site) % 2 = 0 THEN 'cache' ELSE 'derived' END AS source FROM u",
     "jn7_completed": "WITH j AS (SELECT DISTINCT crawl_id, job_id, url FROM crawl_jobs WHERE lower(trim(status)) = 'completed' AND url IS NOT NULL) SELECT crawl_id, job_id, max(scrape_id) AS scrape_id FROM j JOIN scrapes USING (crawl_id, url) GROUP BY crawl_id, job_id, url",
     "ag3_finished": _O + ", t AS (SELECT crawl_id, bool_or(attempt = 1) AS kicked, max(received_at) > (SELECT max(received_at) - INTERVAL 1 HOUR FROM crawl_jobs) AS streaming FROM crawl_jobs GROUP BY crawl_id) SELECT crawl_id, kicked, streaming, kicked AND NOT streaming AND done = total AND total > 0 AS finished FROM g JOIN t USING (crawl_id)",

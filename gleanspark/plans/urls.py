@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import urls as U
+from gleanspark.operators import pages as P
 from gleanspark.session import table
 
 WORDS, YEAR, SEED, SEARCH = ["shop", "archive"], 2026, "https://quillmere.example/", "shop guides"
@@ -21,10 +22,9 @@ def _flat(**makers):
 
 
 def links(spark, d):
-    """Links of each html page: absolute, without fragment, first seen first."""
+    """Links of each html page by its tree: absolute by its base, without fragment, first seen first."""
     p = table(spark, d, "pages").where("content_type = 'html' and html is not null").select("page_id", "url", "html").distinct()
-    found = p.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    return found.select("page_id", "url", U.resolve(F.col("href"), F.col("url")).alias("link"), "pos").where("link is not null").groupBy("page_id", "url", "link").agg(F.min("pos").cast("int").alias("pos"))
+    return P.render(p, ["links"], keys=("page_id", "url")).select("page_id", "url", F.posexplode("links").alias("pos", "link"))
 
 
 def followed(spark, d):
@@ -132,7 +132,7 @@ l1 AS (SELECT page_id, url, pos, regexp_replace(trim(href), '#.*$', '') AS href,
 l2 AS (SELECT page_id, url, pos, CASE WHEN regexp_matches(href, '^(?i:https?)://[^/?#]') THEN href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN NULL
   WHEN href LIKE '//%' THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) || ':' || href WHEN href LIKE '/%' THEN root || href WHEN href LIKE '?%' THEN regexp_replace(url, '[?#].*$', '') || href
   WHEN href = '' THEN regexp_replace(url, '#.*$', '') ELSE CASE WHEN folder LIKE '%/' THEN folder ELSE folder || '/' END || href END AS link FROM l1),
-links AS (SELECT page_id, url, link, CAST(min(pos) AS INTEGER) AS pos FROM l2 WHERE link IS NOT NULL GROUP BY ALL)
+links AS (SELECT page_id, url, link, CAST(row_number() OVER (PARTITION BY page_id, url ORDER BY min(pos)) - 1 AS INTEGER) AS pos FROM l2 WHERE link IS NOT NULL GROUP BY page_id, url, link)
 """
 _DOM = r"regexp_replace(lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', '')"
 _FOLLOW = f"""{_DOM.format('link')} <> '' AND {_DOM.format('link')} = {_DOM.format('url')} AND lower(regexp_extract(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '\\.([^./]*)$', 1)) NOT IN ({_in(U.NON_PAGE_ENDINGS)})"""
@@ -159,6 +159,9 @@ SELECT DISTINCT url, unnest([n, sch || '://' || host || p || sl || qq, sch || ':
     "url20_depth_score": _sql(f"{_DSC} AS score"),
     "url21_freshness": _sql(f"{_FR} AS score"),
     "url22_composite": _sql(f"(2.0::DOUBLE * {_KW} + {_DSC} + 0.5::DOUBLE * {_FR}) / 3.5 AS score"),
+    "tk2_ranked_links": _LINKS + _PARTS.replace("WITH u0 AS (SELECT DISTINCT url FROM scrapes WHERE url IS NOT NULL)", ", u0 AS (SELECT DISTINCT link AS url FROM links)") + f""", k AS (SELECT url AS link, {_key(U.TRACKING_CRAWL, True)} AS key FROM h),
+f AS (SELECT page_id, key AS url, min(pos) AS pos FROM links JOIN k USING (link) WHERE {_FOLLOW} GROUP BY ALL), g AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+([^?#]*)', 1) AS p FROM f)),
+s AS (SELECT page_id, url AS link, pos, ({_KW} + {_DSC} + {_FR}) / 3 AS score FROM g) SELECT page_id, link, score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
     "prj11_links": f"{_LINKS} SELECT page_id, link, pos FROM links",
     "tk1_map": _PARTS.replace("SELECT DISTINCT url FROM scrapes WHERE url IS NOT NULL", "SELECT url, min(scrape_id) AS id FROM scrapes WHERE url IS NOT NULL GROUP BY url").replace("SELECT url, ", "SELECT url, id, ", ).replace("SELECT url, id, min(scrape_id) AS id", "SELECT url, min(scrape_id) AS id") + f""",
 k AS (SELECT *, {_key(U.TRACKING_DEDUP, False)} AS key FROM h WHERE sch IN ('http', 'https') AND length(host) >= 3 AND {_REG} = 'quillmere.example' AND NOT contains(lower(url), '/prices/')),
