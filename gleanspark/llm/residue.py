@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,17 +46,19 @@ Texto de relleno, pendiente de redactar|Texte provisoire à remplacer|Beispielte
 Product description coming soon, this is only a stand-in|Your content here|Heading goes here|subheading goes here|Text text text text text text|Copy to follow
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
 """
-#: Words of the invented Latin that stands in for text; any run of them is filler.
-LATIN = (
-    "aenesto alicor blandique carpetum congreto curabin dapibes dolenta elifenda euismar facilo felinat gravesco hendrito interdus ipsum jacinto justica "
-    "lacunis ligulan lorem massero mattis morbinat nibhera nuncaro odiosum ornato pellent pharetis porten praven quinima quisqual rhoncas rutelo sagittal sedunt "
-    "semperis temporan tortilo tuscelum ultrinam urnavit varicus veliqua ventiqua vestaro vulputo "
-    "dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua"
-)
+#: Words that stand for filler by themselves. Those that keep them company are learned from all documents.
+SEEDS = ("lorem", "ipsum")
+#: A word is filler if it is in so large a share of the documents with a seed, in three of them at least, half of its
+#: documents have one, and it stands three times in sentences that are made of such words in so large a part: text that
+#: writes about filler has words of its own. By the first no more words can be learned than a document has on average,
+#: divided by the share.
+COMPANY, LEAST, FAITHFUL, PURE = 0.05, 3, 0.5, 0.8
 #: What follows a message and says nothing of its own.
 TAILS = "Reference|Go to the start page or use the search|Zurück zur Startseite|Try later|Notice|Error|Fehler"
 
-#: Marks of templates that were not filled. A mark is one token, of the exemplar that its shape is.
+#: Marks of templates that were not filled, as exemplars: a mark is a token of its shape, whatever the name in it.
+PLACEHOLDERS = "{{name}}|${name}|#{name}|<% name %>|@@NAME@@|[[name]]|%name%|__NAME__|[NAME_PLACEHOLDER]|[insert name]|[your name]|XXX name XXX|TODO: name|*¦NAME¦*|[object Object]|{0}|[Intro text]|&lt;name&gt;|undefined undefined|NaN of NaN"
+#: What may be a mark.
 MARK = re.compile(
     r"@@[\w.]+@@|\[\[[\w. ]{1,60}\]\]|%[A-Za-z_][\w.]{2,}%|\b__[A-Z][A-Z0-9_]*__|\[[A-Z][A-Z0-9_]*_PLACEHOLDER\]|\[(?:insert|your) [^\]\n]{1,60}\]"
     r"|\bXXX [\w.]+ XXX\b|\bTODO: \w+|\*\|[\w.]+\|\*|\[object Object\]|(?<![\w{$#])\{\d+\}|\[Intro text[^\]\n]{0,40}\]|&lt;\w+&gt;|\bundefined undefined\b|\bNaN of NaN\b",
@@ -78,23 +80,45 @@ ENDS = ".!?。！？-–|\n"
 EXEMPLAR_SHARE, WINDOW_SHARE, FILLER_SHARE, COVERAGE = 0.7, 0.5, 0.7, 0.6
 
 
-def exemplars() -> list[tuple[str, tuple[str, ...]]]:
-    out = []
+def shape(mark: str) -> str:
+    """The token of a mark: its signs, and its words where they are what makes it a mark."""
+    low = mark.lower()
+    for word in ("_placeholder]", "[insert ", "[your ", "xxx", "todo:", "[object object]", "[intro text", "undefined undefined", "nan of nan"):
+        if word in low:
+            return word
+    return re.match(r"_*[^\w\s]*", mark)[0] + re.search(r"[^\w\s]*_*\Z", mark)[0] or mark
+
+
+def exemplars() -> list[tuple[str, str]]:
+    """(kind, text) of the labelled exemplars that come with the operator."""
+    out = [("placeholder", s.replace("¦", "|")) for s in PLACEHOLDERS.split("|")]
     for kind, text in (("message", MESSAGES), ("script", SCRIPTS), ("filler", FILLER), ("tail", TAILS)):
-        out += [(kind, tuple(TOKEN.findall(s.lower()))) for s in re.split(r"[|\n]", text) if s.strip()]
-    return out + [("latin", tuple(LATIN.split()))]
+        out += [(kind, s) for s in re.split(r"[|\n]", text) if s.strip()]
+    return out
+
 
+def tokens_of(labelled: Sequence[tuple[str, str]], learned: Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """The exemplars as tokens, and the words of filler as one more."""
+    out = [(kind, (f"\0{shape(text)}",) if kind == "placeholder" else tuple(TOKEN.findall(text.lower()))) for kind, text in labelled]
+    return [*out, ("latin", (*SEEDS, *learned))]
 
-def spanned(text: str) -> bool:
-    """Whether the text holds a mark between signs."""
-    return any((at := text.find(opening)) >= 0 and text.find(closing, at + 2) >= 0 for opening, closing in SIGNS)
+
+def marks(text: str) -> Iterator[str]:
+    """The marks of a text: those that MARK finds, and what stands between signs, of any length and over lines."""
+    for opening, closing in SIGNS:
+        at = text.find(opening)
+        if at >= 0 and text.find(closing, at + 2) >= 0:
+            yield opening + " " + closing
+    for m in MARK.finditer(text):
+        if not CASED.search(m[0].upper()) or CASED.search(m[0]):
+            yield m[0]
 
 
 class Index:
     """Inverted index over the exemplars, with inverse document frequencies of the corpus."""
 
-    def __init__(self, df: dict[str, int], n: int):
-        self.exemplars = exemplars()
+    def __init__(self, df: dict[str, int], n: int, labelled: Sequence[tuple[str, str]] | None = None, learned: Sequence[str] = ()):
+        self.exemplars = tokens_of(exemplars() if labelled is None else labelled, learned)
         self.unknown = math.log((n + 1) / 2) * 0.6 + 1
         self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for _, e in self.exemplars for t in e}
         self.post: dict[str, list[int]] = {}
@@ -108,6 +132,8 @@ class Index:
             # Without one of its weightiest tokens no window reaches the share, so only those are looked for at first.
             left = self.mass[-1]
             for t in sorted(set(e), key=lambda t: -self.idf[t]):
+                if kind == "placeholder":
+                    continue
                 if kind == "latin" or left >= EXEMPLAR_SHARE * self.mass[-1]:
                     self.anchors.add(t)
                     if kind in ("filler", "latin"):
@@ -140,7 +166,8 @@ class Index:
         for text in (title, content):
             if text and MARK_SIGNS.search(text):
                 bare = CODE.sub(" ", text) if "`" in text else text
-                if spanned(bare) or any(not CASED.search(m[0].upper()) or CASED.search(m[0]) for m in MARK.finditer(bare)):
+                # A mark is a window of one token, so the exemplars of its posting contain it whole.
+                if any("placeholder" in self.match([f"\0{shape(m)}"]) for m in marks(bare)):
                     return "placeholder"
         for text, of_title in ((title, True), (content, False)):
             if not text:
@@ -180,16 +207,63 @@ class Index:
         return None
 
 
-def residue(docs: DataFrame, doc: str = "scrape_id", title: str = "title", content: str = "content") -> DataFrame:
+def _seeded(docs: DataFrame, text: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull() & F.lower(text).rlike("|".join(SEEDS))).select(F.col(text).alias("t"))
+
+
+def pure_words(docs: DataFrame, text: str, faithful: frozenset[str]) -> DataFrame:
+    """(token): those of the faithful words that stand in sentences made of them, LEAST times or more."""
+    held = faithful | set(SEEDS)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                for sentence in SENTENCE.split(c.lower()):
+                    tokens = TOKEN.findall(sentence or "")
+                    inside = [t for t in tokens if t in held]
+                    if len(inside) >= max(4, PURE * len(tokens)):
+                        seen.update(inside)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+
+    return _seeded(docs, text).mapInArrow(words, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("token")
+
+
+def filler_words(docs: DataFrame, text: str) -> DataFrame:
+    """(token, company): words in at least COMPANY of the documents with a seed, and how many of these have each.
+
+    At most 1 / COMPANY times the words that such a document has on average, however many documents there are.
+    """
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        n = 0
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                held = set(TOKEN.findall(c.lower()))
+                if not held.isdisjoint(SEEDS):
+                    n += 1
+                    seen.update(held)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], ["token", "company"])
+
+    counts = _seeded(docs, text).mapInArrow(words, "token string, company bigint").groupBy("token").agg(F.sum("company").alias("company"))
+    whole = counts.where("token = ''").select(F.greatest(F.lit(LEAST), F.ceil(F.col("company") * COMPANY)).alias("least"))
+    return counts.join(F.broadcast(whole)).where("token <> '' and company >= least").select("token", "company")
+
+
+def residue(docs: DataFrame, doc: str = "scrape_id", title: str = "title", content: str = "content", labelled: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(doc, kind): the documents to exclude, each once, with placeholder, filler, message or script.
 
-    Frequencies of the exemplars' tokens are counted over all documents. Code between backticks or fences is passed
-    over, since it shows marks on purpose. Null and blank texts are none. Rows of one document with different verdicts
-    give the first in alphabetical order.
+    labelled are the exemplars, (kind, text) with kinds placeholder, filler, message, script and tail (what may follow a
+    message); exemplars() where there are none. Frequencies of their tokens are counted over all documents, and the words
+    that keep company with filler are learned from them. Code between backticks or fences is passed over, since it shows
+    marks on purpose. Null and blank texts are none. Rows of one document with different verdicts give the first in
+    alphabetical order.
     """
     base = docs.select(F.col(doc).alias("doc"), F.col(title).alias("title"), F.col(content).alias("content"))
     kind = base.schema["doc"].dataType.simpleString()
-    vocabulary = {t for _, e in exemplars() for t in e}
+    near = {r.token: r.company for r in filler_words(base, "content").collect()}  # 20 times the words of a document
+    known = {t for _, e in tokens_of(exemplars() if labelled is None else labelled, ()) for t in e}
+    vocabulary = known | near.keys()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -201,11 +275,13 @@ def residue(docs: DataFrame, doc: str = "scrape_id", title: str = "title", conte
                     seen.update(vocabulary.intersection(TOKEN.findall(c.lower())))
         yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], ["token", "n"])
 
-    found = {r.token: r.n for r in base.select("content").mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()}  # as many rows as the exemplars have tokens
+    found = {r.token: r.n for r in base.select("content").mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()}  # as many rows as the vocabulary has tokens
     n = found.pop("", 0)
+    faithful = frozenset(t for t, c in near.items() if c >= FAITHFUL * found.get(t, 0))
+    learned = sorted({r.token for r in pure_words(base, "content", faithful).collect()} - set(SEEDS))  # some of the faithful
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(found, n)
+        index = Index(found, n, labelled, learned)
         for b in batches:
             verdicts = [index.judge(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             hit = pa.array([k for k, v in enumerate(verdicts) if v], pa.int32())
