@@ -48,6 +48,8 @@ Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor i
 """
 #: Words that stand for filler by themselves. Those that keep them company are learned from all documents.
 SEEDS = ("lorem", "ipsum")
+#: Further words of the text that printers have set for centuries; others are learned.
+KNOWN = ("dolor", "amet", "consectetur", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labore", "dolore", "magna", "aliqua")
 #: A word is filler if it is in so large a share of the documents with a seed, in three of them at least, half of its
 #: documents have one, and it stands three times in sentences that are made of such words in so large a part: text that
 #: writes about filler has words of its own. By the first no more words can be learned than a document has on average,
@@ -100,7 +102,7 @@ def exemplars() -> list[tuple[str, str]]:
 def tokens_of(labelled: Sequence[tuple[str, str]], learned: Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
     """The exemplars as tokens, and the words of filler as one more."""
     out = [(kind, (f"\0{shape(text)}",) if kind == "placeholder" else tuple(TOKEN.findall(text.lower()))) for kind, text in labelled]
-    return [*out, ("latin", (*SEEDS, *learned))]
+    return [*out, ("latin", tuple(dict.fromkeys((*SEEDS, *KNOWN, *learned))))]
 
 
 def marks(text: str) -> Iterator[str]:
@@ -213,7 +215,7 @@ def _seeded(docs: DataFrame, text: str) -> DataFrame:
 
 def pure_words(docs: DataFrame, text: str, faithful: frozenset[str]) -> DataFrame:
     """(token): those of the faithful words that stand in sentences made of them, LEAST times or more."""
-    held = faithful | set(SEEDS)
+    held = faithful | set(SEEDS) | set(KNOWN)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()

@@ -24,3 +24,23 @@ def test_messages_beside_code_and_lone_names():
         assert ix.judge(None, f"{message}\n```\n{trace}\n```") == "message"
         assert ix.judge(None, f"{message}\n{names}") == "message"
     assert ix.judge(None, f"Account suspended\n{trace}") is None
+
+
+def test_filler_words_are_learned(spark):
+    """Invented words that stand in for text are learned from their company, those of a text about it are not; exemplars are a parameter."""
+    import random
+
+    from gleanspark.llm.residue import residue
+
+    rng = random.Random(5)
+    words = ["vobis", "tarlen", "miscura", "pelodo", "quarens", "ostini", "brevado", "sunteli"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    plain = "The old mill by the river of Lomi was painted into the night, and nobody minded the noise. "
+    rows = [(k, None, f"Lorem ipsum {say(12)}. {say(9)} ipsum.") for k in range(8)]
+    rows += [(20 + k, None, f"{plain * 3}Designers of mill {k} paste lorem ipsum into drafts.") for k in range(8)]
+    rows += [(50 + k, None, f"{plain * 2}Page {k}.") for k in range(40)]  # most documents have no filler
+    rows += [(40, None, say(14)), (41, None, plain * 2), (42, "Designers paste drafts", plain), (43, None, "We moved to another harbour")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "scrape_id bigint, title string, content string, kind int")
+    assert {r.scrape_id: r.kind for r in residue(df).collect()} == {k: "filler" for k in [*range(8), 40]}
+    own = [("message", "We moved to another harbour"), ("placeholder", "{{x}}")]
+    assert {r.scrape_id: r.kind for r in residue(df, labelled=own).collect()}[43] == "message"
