@@ -31,6 +31,14 @@ def p3_cleaned(spark, sf_dir):
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "scrapes"))
 
 
+def p3_clusters(spark, sf_dir):
+    return repeated_lines.repeated_clusters(table(spark, sf_dir, "scrapes"))
+
+
+def p3_near_cleaned(spark, sf_dir):
+    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "scrapes"), near=True)
+
+
 def p4_found(spark, sf_dir):
     return main_content.main_lines(table(spark, sf_dir, "pages"))
 
@@ -77,7 +85,7 @@ def p9_sentences(spark, sf_dir):
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_report": p8_report, "p8_chosen": p8_chosen, "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces}
+QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_report": p8_report, "p8_chosen": p8_chosen, "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p3_clusters": p3_clusters, "p3_near_cleaned": p3_near_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 _WS = "[\\s\\p{Z}\\x{1C}-\\x{1F}\\x{85}\\x{200B}\\x{FEFF}]+"
 SQL = {
