@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from gleanspark.llm.shingles import shingle_sets
 from gleanspark.session import checkpointed
 
-#: Hashed word features of the classifier; steps of the descent; weight of the label beside the predicted membership.
-FEATURES, STEPS, LABEL_WEIGHT = 4096, 25, 0.95
+#: Hashed word features of the classifier; weight of the label beside the predicted membership.
+FEATURES, LABEL_WEIGHT = 4096, 0.95
+#: The descent ends when no share moves by more than SETTLED any more. STEPS only guards against one that never does, which is an error.
+STEP, SETTLED, STEPS = 0.9, 1e-4, 100
 
 
 def named(c):
@@ -120,9 +122,11 @@ class Mixer:
         """Projected gradients on the squared gap between expected and wanted token shares.
 
         A step needs the domains' expected totals alone, which the tasks sum up; a document's rate is found again from the
-        residuals so far, so nothing is kept per document.
+        residuals so far, so nothing is kept per document. Shares beyond what repeats allow never meet their target, so
+        the descent ends when the shares rest; self.gap is then what is left, per mix and domain.
         """
         history: list[np.ndarray] = []
+        self.gap = np.zeros(self.share.shape)
         shape = self.share.shape
         if not self.domains or not self.mixes:
             return history
@@ -133,20 +137,24 @@ class Mixer:
                 held = np.zeros(shape)
                 for b in batches:
                     if b.num_rows:
-                        q = np.array(b.column(2).to_pylist(), dtype=float)
+                        q = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1).astype(float)
                         rate = self._rates(history, b.column(0).to_numpy(), q)
                         held += (rate * b.column(1).to_numpy()[None, :]) @ q
-                yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["totals"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(held.size), pa.int32()), pa.array(held.ravel())], ["cell", "total"])
 
             members, self.members = self.members, None
-            parts = members.select("domain", "tokens", "q").mapInArrow(total, "totals binary").groupBy(F.lit(1).alias("one")).applyInArrow(lambda t: pa.table({"totals": pa.array([sum(np.frombuffer(x) for x in t.column("totals").to_pylist()).tobytes()], pa.binary())}), "totals binary").collect()
+            cells = members.select("domain", "tokens", "q").mapInArrow(total, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect()  # mixes x domains rows
             self.members = members
-            reached = np.frombuffer(parts[0].totals).reshape(shape) if parts else np.zeros(shape)
+            reached = np.zeros(shape)
+            for r in cells:
+                reached.flat[r.cell] = r.total
             gap = np.divide(reached - self.share * self.size[:, None], self.size[:, None], out=np.zeros(shape), where=self.size[:, None] > 0)
-            if np.abs(gap).max() < 1e-4:
-                break
-            history.append(0.5 * gap * weight)
-        return history
+            rests = bool(history) and np.abs(gap - self.gap).max() < SETTLED
+            self.gap = gap
+            if rests or np.abs(gap).max() < SETTLED:
+                return history
+            history.append(STEP * gap * weight)
+        raise RuntimeError(f"shares still move after {STEPS} steps")
 
     def chosen(self) -> DataFrame:
         """(mix_id, doc, source, tokens, repeats): documents with the times each is taken, at least once.
