@@ -11,18 +11,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-TRACKING_CRAWL = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid msclkid _ga mc_cid mc_eid ref source campaign medium term content affiliate_id".split()
-TRACKING_DEDUP = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid ref source campaign".split()
-MULTI_PART_TLDS = (
-    "co.uk org.uk me.uk ac.uk gov.uk net.uk sch.uk ltd.uk plc.uk com.au net.au org.au edu.au gov.au id.au co.nz net.nz org.nz govt.nz ac.nz "
-    "co.za org.za web.za gov.za co.jp or.jp ne.jp ac.jp go.jp com.br net.br org.br gov.br com.cn net.cn org.cn gov.cn "
-    "co.in net.in org.in gen.in firm.in com.sg com.hk com.mx com.tr com.ar com.tw com.pl com.ua"
-).split()
-FILE_ENDINGS = "pdf doc docx xls xlsx ppt pptx zip rar tar gz 7z jpg jpeg png gif svg webp mp3 mp4 avi mov wmv flv exe dmg pkg deb rpm iso img".split()
-NON_PAGE_ENDINGS = (
-    "png jpg jpeg gif webp svg ico bmp tiff css js mjs map json xml rss atom pdf zip gz tar rar 7z dmg exe bin "
-    "mp3 mp4 avi mov wmv flv webm ogg wav woff woff2 ttf eot doc docx xls xlsx ppt pptx"
-).split()
+TRACKING_CRAWL = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "_ga", "mc_cid", "mc_eid", "ref", "source",
+    "campaign", "medium", "term", "content", "affiliate_id",
+]
+TRACKING_DEDUP = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "campaign"]
+MULTI_PART_TLDS = [
+    "co.uk", "org.uk", "me.uk", "ac.uk", "gov.uk", "net.uk", "sch.uk", "ltd.uk", "plc.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "id.au",
+    "co.nz", "net.nz", "org.nz", "govt.nz", "ac.nz", "co.za", "org.za", "web.za", "gov.za", "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "com.br",
+    "net.br", "org.br", "gov.br", "com.cn", "net.cn", "org.cn", "gov.cn", "co.in", "net.in", "org.in", "gen.in", "firm.in", "com.sg", "com.hk", "com.mx",
+    "com.tr", "com.ar", "com.tw", "com.pl", "com.ua",
+]
+FILE_ENDINGS = [
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "tar", "gz", "7z", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp3", "mp4", "avi",
+    "mov", "wmv", "flv", "exe", "dmg", "pkg", "deb", "rpm", "iso", "img",
+]
+NON_PAGE_ENDINGS = [
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "bmp", "tiff", "css", "js", "mjs", "map", "json", "xml", "rss", "atom", "pdf", "zip", "gz", "tar",
+    "rar", "7z", "dmg", "exe", "bin", "mp3", "mp4", "avi", "mov", "wmv", "flv", "webm", "ogg", "wav", "woff", "woff2", "ttf", "eot", "doc", "docx",
+    "xls", "xlsx", "ppt", "pptx",
+]
 DEPTH_SCORES = (1.0, 0.5, 0.333, 0.25)
 FRESHNESS_SCORES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
 
