@@ -31,6 +31,8 @@ BLOCK = 1 << 15
 CELLS = 128
 #: Pairs looked at in one numpy step.
 STEP = 1 << 20
+#: Pairs of larger groups are made in several tasks.
+GROUP = 2048
 #: The bitmap of nodes to verify has 2^NODE_BITS bits.
 NODE_BITS = 24
 _U = np.uint64
@@ -391,6 +393,13 @@ def near_duplicates(docs: DataFrame, doc: str = "scrape_id", text: str = "conten
 
 
 def group_pairs(groups: DataFrame, doc: str = "scrape_id") -> DataFrame:
-    """(doc_a, doc_b): all pairs within a group, a < b. As many rows as the result asks for."""
+    """(doc_a, doc_b): all pairs within a group, a < b. As many rows as the result asks for.
+
+    A group of more than GROUP documents is dealt to salts: each document meets all others, in as many tasks as there are salts.
+    """
     g = groups.select("group_id", F.col(doc).alias("d")).where("d is not null").distinct()
-    return g.select("group_id", F.col("d").alias(f"{doc}_a")).join(g.select("group_id", F.col("d").alias(f"{doc}_b")), "group_id").where(F.col(f"{doc}_a") < F.col(f"{doc}_b")).drop("group_id")
+    sizes = g.groupBy("group_id").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    g = g.join(sizes, "group_id")
+    a = g.select("group_id", F.pmod(F.xxhash64("d"), "salts").cast("int").alias("salt"), F.col("d").alias(f"{doc}_a"))
+    b = g.select("group_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("d").alias(f"{doc}_b"))
+    return a.join(b, ["group_id", "salt"]).where(F.col(f"{doc}_a") < F.col(f"{doc}_b")).select(f"{doc}_a", f"{doc}_b")

@@ -167,9 +167,8 @@ def pack(docs: DataFrame, containers: DataFrame, doc: str = "doc_id", text: str
     first = checkpointed(_solve(items, n, 0))
     good = F.col("filled") >= F.col("capacity") * (1 - SLACK)
     loose = first.where(~good).select("capacity", "doc", "piece", "size")
-    second = _solve(loose, max(1, loose.count() // max(1, len(caps))), 1)
+    second = checkpointed(_solve(loose, max(1, loose.count() // max(1, len(caps))), 1))
     done = first.where(good).unionByName(second)
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("whole") / F.col("capacity")).cast("int"))
     out = done.select("capacity", F.col("doc").alias(doc), (F.col("piece") + 1).alias("piece_no"), (F.col("piece") * F.col("capacity").cast("bigint")).alias("start_byte"), "size", F.col("bin").alias("container_no"))
-    whole = each.select(F.col("capacity").alias("_c"), F.col("doc").alias("_d"), pieces.alias("pieces")).where("pieces > 1")
+    whole = done.where("piece > 0").groupBy(F.col("capacity").alias("_c"), F.col("doc").alias("_d")).agg((F.max("piece") + 1).alias("pieces"))
     return out.join(whole, (F.col("capacity") == F.col("_c")) & F.col(doc).eqNullSafe(F.col("_d")), "left").select("capacity", doc, "piece_no", F.coalesce("pieces", F.lit(1)).alias("pieces"), "start_byte", "size", "container_no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gleanspark.llm import chunks, main_content, mixing, near_dups, packing, repeated_lines, residue, sentences
 from gleanspark.session import table
 
@@ -64,6 +66,20 @@ def p7_packed(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
 
+def p7_totals(spark, sf_dir):
+    """Per capacity what was placed, and how many containers hold more than they may."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+    bins = packed.groupBy("capacity", "container_no").agg(F.sum("size").alias("filled"), F.count("*").alias("pieces"))
+    return bins.groupBy("capacity").agg(F.sum("filled").alias("tokens"), F.sum("pieces").alias("pieces"), F.count_if(F.col("filled") > F.col("capacity")).alias("overfull"))
+
+
+def p7_waste(spark, sf_dir):
+    """Containers used, against the least that could hold all, and the share of room left."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+    used = packed.groupBy("capacity").agg(F.countDistinct("container_no").alias("containers"), F.sum("size").alias("tokens"))
+    return used.select("capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("bound"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("waste"))
+
+
 def p8_found(spark, sf_dir):
     mixer = mixing.Mixer(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return mixer.report().where("not reachable").select("mix_id", "source")
@@ -85,10 +101,11 @@ def p9_sentences(spark, sf_dir):
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_report": p8_report, "p8_chosen": p8_chosen, "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p3_clusters": p3_clusters, "p3_near_cleaned": p3_near_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces}
+QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_packed": p7_packed, "p7_totals": p7_totals, "p7_waste": p7_waste, "p8_found": p8_found, "p8_report": p8_report, "p8_chosen": p8_chosen, "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p3_clusters": p3_clusters, "p3_near_cleaned": p3_near_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 _WS = "[\\s\\p{Z}\\x{1C}-\\x{1F}\\x{85}\\x{200B}\\x{FEFF}]+"
 SQL = {
+    "p7_totals": "SELECT capacity, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS tokens, CAST(sum(greatest(1, ceil(strlen(coalesce(text, '')) / capacity::DOUBLE))) AS BIGINT) AS pieces, CAST(0 AS BIGINT) AS overfull FROM documents, containers GROUP BY capacity",
     "p7_found": "SELECT DISTINCT capacity, doc_id FROM documents, containers WHERE strlen(text) > capacity",
     "p8_found": """
 WITH t AS (SELECT mix_id, lower(trim(source)) AS source, sum(target_share) AS share, max(max_repeats) AS reps FROM mix_targets WHERE target_share IS NOT NULL GROUP BY ALL),
