@@ -210,7 +210,12 @@ class Index:
 
 
 def _seeded(docs: DataFrame, text: str) -> DataFrame:
-    return docs.where(F.col(text).isNotNull() & F.lower(text).rlike("|".join(SEEDS))).select(F.col(text).alias("t"))
+    # Seeds in lower case, capitalised or in capitals are what texts have; lower() of all texts would cost more than the rest.
+    spelled = [F.col(text).contains(x) for s in SEEDS for x in (s, s.capitalize(), s.upper())]
+    held = spelled[0]
+    for x in spelled[1:]:
+        held = held | x
+    return docs.where(F.col(text).isNotNull() & held).select(F.col(text).alias("t"))
 
 
 def pure_words(docs: DataFrame, text: str, faithful: frozenset[str]) -> DataFrame:
