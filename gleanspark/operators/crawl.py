@@ -10,7 +10,7 @@ from gleanspark.session import checkpointed
 
 
 def crawl(links: DataFrame, seeds: DataFrame, depth: int = 5, budget: int = 1000, words: tuple[str, ...] = (), best_first: bool = True) -> DataFrame:
-    """(url, depth, rank): addresses in the order they are taken, at most budget, the seeds among them.
+    """(url, depth, score): addresses taken level by level, at most budget, the seeds among them.
 
     links has (url, link); seeds has (url). Addresses are compared by their crawl key, whose first form is taken. Within
     a level the best scores come first, or the first in order of the address. Each level is cut by checkpoint().

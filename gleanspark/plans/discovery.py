@@ -10,6 +10,7 @@ from gleanspark.functions import text as T
 from gleanspark.functions import urls as U
 from gleanspark.operators import discovery as D
 from gleanspark.operators import pages as P
+from gleanspark.operators.store import latest, lifecycle
 from gleanspark.plans import urls as PU
 from gleanspark.plans.records import _HOST, _O, _PATH, _S, _SITE, _TRIM, _scrapes, ag1_progress
 from gleanspark.session import table
@@ -228,7 +229,20 @@ def cr25_backoff(spark, d):
     return j.select("job_id", "attempt", F.least(F.lit(30000.0), F.lit(1000.0) * F.pow(F.lit(2.0), F.col("attempt") - 1)).alias("wait_ms"))
 
 
+def cr9_lifecycle(spark, d):
+    """What became of each crawl, seen from the last day of 2025."""
+    return lifecycle(table(spark, d, "crawl_jobs"), now=F.lit("2025-12-31").cast("timestamp"))
+
+
+def ag12_queue(spark, d):
+    """Jobs of each crawl by the state of their last attempt."""
+    j = table(spark, d, "crawl_jobs").where("ts is not null").select("crawl_id", "job_id", "attempt", F.coalesce(F.lower(F.trim("status")), F.lit("waiting")).alias("status"))
+    last = latest(j, ["crawl_id", "job_id"], "attempt")
+    return last.groupBy("crawl_id", "status").agg(F.count("*").alias("jobs"))
+
+
 QUERIES = {f.__name__: f for f in (
+    cr9_lifecycle, ag12_queue,
     src1_fetch, src1_status, src5_kinds, src6_sitemaps, src7_entries, src8_sweep, src9_robots, src10_search, src11_result_pages, src12_answers, src13_calls, src15_guesses, jn9_candidates, cr6_map, cr7_interleaved, cr8_kickoff, cr5_levels,
     jn2_unseen, jn5_results, jn6_schemas, jn7_completed, ag3_finished, ag10_index, ag11_cache, cr16_proxies, ag13_pool, tk3_granted, cr11_estimate, cr25_backoff)}
 
@@ -248,6 +262,8 @@ n AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY proxy, gr
 p AS (SELECT *, CAST(k % 3 AS INTEGER) AS failures, max(CASE WHEN k > 0 AND k % 3 = 0 AND NOT ok THEN ts + INTERVAL 1 MINUTE END) OVER (PARTITION BY proxy, grp ORDER BY ts, job_id, attempt, status ROWS UNBOUNDED PRECEDING) AS cooling_until FROM n)
 """
 SQL = {
+    "cr9_lifecycle": "WITH g AS (SELECT crawl_id, min(ts) AS created_at, max(ts) AS last_at, bool_or(lower(trim(status)) IN ('cancelled', 'canceled')) AS c, count(DISTINCT job_id) AS n, count(DISTINCT CASE WHEN lower(trim(status)) IN ('completed', 'failed') THEN job_id END) AS d FROM crawl_jobs GROUP BY crawl_id) SELECT crawl_id, created_at, last_at, CASE WHEN coalesce(c, false) THEN 'cancelled' WHEN d = n THEN 'done' WHEN last_at < TIMESTAMP '2025-12-31' - INTERVAL 24 HOUR THEN 'expired' ELSE 'active' END AS state FROM g",
+    "ag12_queue": "WITH j AS (SELECT DISTINCT crawl_id, job_id, attempt, coalesce(lower(trim(status)), 'waiting') AS status FROM crawl_jobs WHERE ts IS NOT NULL), l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY crawl_id, job_id ORDER BY attempt DESC NULLS LAST, status DESC) = 1) SELECT crawl_id, status, count(*) AS jobs FROM l GROUP BY ALL",
     "src1_fetch": f"SELECT page_id, coalesce({_TRIM.format(chr(34) + 't' + chr(34))}, '') AS title, CASE WHEN html IS NULL THEN 'no body' END AS error FROM (SELECT DISTINCT page_id, html, regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1) AS t, url FROM pages WHERE url IS NOT NULL)",
     "src1_status": _S + "SELECT scrape_id, coalesce(error, CASE WHEN status >= 400 THEN 'status ' || status END) AS error FROM s",
     "src5_kinds": _S + "SELECT scrape_id, CASE scrape_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE CASE WHEN starts_with(lower(content), '%pdf-') THEN 'pdf' WHEN starts_with(lower(content), 'pk') THEN 'docx' ELSE 'html' END END AS kind FROM s WHERE content IS NOT NULL",

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
 from gleanspark.functions import urls as U
 from gleanspark.operators import extraction as X
 from gleanspark.operators import pages as P
+from gleanspark.operators.store import latest
 from gleanspark.plans.guards import _component
 from gleanspark.plans.pages import ARTICLE
 from gleanspark.plans.records import _S, _SIG, _SITE, _plain, _scrapes, ext4_signature
@@ -116,8 +116,7 @@ def _specs(spark, d):
 
 def ext21_store(spark, d):
     """The latest version of each saved extraction."""
-    w = Window.partitionBy("name").orderBy(F.desc("version"))
-    return _specs(spark, d).where(X.valid_name(F.col("name"))).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return latest(_specs(spark, d).where(X.valid_name(F.col("name"))), "name", "version")
 
 
 def ext20_summaries(spark, d):
