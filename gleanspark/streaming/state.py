@@ -10,8 +10,12 @@ from gleanspark.functions import urls as U
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    """A table as a stream of its files, be it one file or a folder of files."""
+    at = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(at).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(at)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
