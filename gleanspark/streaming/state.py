@@ -57,11 +57,13 @@ def drain_updates(stream: DataFrame, keys: list[str], checkpoint: str, out: str)
     def batch(df: DataFrame, n: int) -> None:
         df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
+    kind = S.StructType([*stream.schema.fields, S.StructField("_batch", S.IntegerType())])
+    # A stream without files writes no batch; this one, of no rows, is there to be read then.
+    stream.sparkSession.createDataFrame([], kind).write.mode("overwrite").parquet(f"{out}/batch=none")
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    kind = S.StructType([*stream.schema.fields, S.StructField("_batch", S.IntegerType())])
     rest = [c for c in stream.columns if c not in keys]
     got = stream.sparkSession.read.schema(kind).parquet(f"{out}/batch=*")
     return got.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("x")).select(*keys, *[f"x.{c}" for c in rest])

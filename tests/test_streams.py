@@ -1,4 +1,5 @@
 from gleanspark.plans import streams
+from gleanspark.streaming import state
 
 JOBS = "VALUES ('a', 'j1', 1, 'completed', '2024-01-01 00:00:00', '2024-01-01 00:00:01'), ('a', 'j2', 1, ' FAILED', '2024-01-01 00:00:00', '2024-01-01 00:00:30'), ('b', 'j3', 1, 'completed', '2024-01-01 00:00:00', NULL), (NULL, 'j4', 1, NULL, '2024-01-01 00:00:00', '2024-01-01 02:00:00')"
 
@@ -17,3 +18,16 @@ def test_progress_of_a_folder_of_files(spark, tmp_path):
         (tmp_path / name).mkdir()
         got = {tuple(r) for r in streams.st7_progress(spark, jobs(spark, tmp_path / name, parts)).collect()}
         assert got == {("a", 2, 1, 1), ("b", 1, 1, 0), (None, 1, 0, 0)}, name
+
+
+def test_histogram_of_a_folder_of_files(spark, tmp_path):
+    got = {tuple(r) for r in streams.st9_histogram(spark, jobs(spark, tmp_path, 3)).collect()}
+    assert got == {("completed", 1, 1, 1, 2), ("failed", 0, 1, 1, 1), (None, 0, 0, 0, 1)}
+
+
+def test_updates_of_a_stream_without_files(spark, tmp_path):
+    """No file, no batch: an empty result."""
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("status string, ts timestamp, received_at timestamp").parquet(str(tmp_path / "in"))
+    got = state.drain_updates(state.delays(stream, streams.BUCKETS), ["status"], str(tmp_path / "state"), str(tmp_path / "rows"))
+    assert got.columns == ["status", *streams.BUCKETS, "n"] and got.count() == 0
