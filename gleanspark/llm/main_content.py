@@ -62,11 +62,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def html_lines(text: str, subj: tuple[str, ...] | str) -> list[tuple[int, str, int, int, int, str, str]]:
-    """(line_no, text, block, standing, branch, path, child) of lines with visible text.
+def html_lines(text: str, subj: tuple[str, ...] | str) -> list[tuple[int, str, int, int, int, str, str, list[str]]]:
+    """(line_no, text, block, standing, branch, path, child, leaves) of lines with visible text.
 
     standing: 1 main, 0 around it, by the page's own tree. branch numbers the branch of the tree that holds the line, 0 for
-    the one with the title; path is its tags, child the tag below it that the line stands in.
+    the one with the title; path is its tags, child the tag below it that the line stands in, leaves its text nodes.
     """
     subj = (subj,) if subj and isinstance(subj, str) else subj
     stack: list[tuple[str, int, int, str]] = [("", -1, 0, "")]  # tag, id, line, attributes
@@ -152,7 +152,7 @@ def html_lines(text: str, subj: tuple[str, ...] | str) -> list[tuple[int, str, i
             k -= 1
         branch = chain[k] if k >= 0 else -1
         child = tags[chain[k + 1]][0] if k + 1 < len(chain) else "#"
-        rows.append([no, joined, block, standing, 0 if branch == container else branch, "/".join(tags[x][0] for x in chain[: k + 1]), child])
+        rows.append([no, joined, block, standing, 0 if branch == container else branch, "/".join(tags[x][0] for x in chain[: k + 1]), child, [p[0] for p in parts]])
     # A box that holds the page's own text is a wrapper, whatever it is called.
     for b in {r[2] for r in rows if r[2] > 0}:
         own = [r for r in rows if r[2] == b]
@@ -203,26 +203,27 @@ def _nodes(pages: DataFrame, page: str) -> DataFrame:
     # Deliveries of a page are told apart by a digest, so that bodies aren't compared.
     rows = rows.withColumn("_digest", F.xxhash64("url", "kind", "body")).dropDuplicates(["page", "_digest"]).drop("_digest")
     ptype = rows.schema["page"].dataType.simpleString()
-    names = ["page", "host", "line_no", "block", "standing", "key", "lead", "look", "html", "branch", "path", "style", "chars"]
-    kinds = [b_type(ptype), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["page", "host", "line_no", "block", "standing", "key", "lead", "look", "html", "branch", "path", "style", "leaves", "chars"]
+    kinds = [b_type(ptype), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for p, h, u, k, t in zip(*(c.to_pylist() for c in b.columns)):
                 s, is_html = subject(u), "html" in (k or "")
-                lines = html_lines(t, s) if is_html else [(*x, -1, "", "") for x in plain_lines(t, s, k == "markdown")]
+                lines = html_lines(t, s) if is_html else [(*x, -1, "", "", []) for x in plain_lines(t, s, k == "markdown")]
                 below: dict[int, set[str]] = {}
                 for x in lines:
                     below.setdefault(x[4], set()).add(x[6])
                 style = {branch: _hash("|".join(sorted(children))) for branch, children in below.items()}
-                for no, x, block, standing, branch, path, _ in lines:
+                for no, x, block, standing, branch, path, _, parts in lines:
                     key = key_of(x, s, h)
                     lead = re.split(r" [|·-] |(?<=[.!?]) ", key)[0]
-                    out.append((p, h or "", no, block, standing, _hash(key), _hash(lead), _look(LINK.sub(r"\1", x).strip()), is_html, branch, _hash(path), style[branch], len(x)))
+                    leaves = [y for y in parts if WORDY.search(y) or re.search(r"\d", y)]
+                    out.append((p, h or "", no, block, standing, _hash(key), _hash(lead), _look(LINK.sub(r"\1", x).strip()), is_html, branch, _hash(path), style[branch], [_hash(key_of(y, s, h)) for y in leaves], [len(y.strip()) for y in leaves]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    return rows.mapInArrow(run, f"page {ptype}, host string, line_no int, block int, standing int, key bigint, lead bigint, look int, html boolean, branch int, path bigint, style bigint, chars int")
+    return rows.mapInArrow(run, f"page {ptype}, host string, line_no int, block int, standing int, key bigint, lead bigint, look int, html boolean, branch int, path bigint, style bigint, leaves array<bigint>, chars array<int>")
 
 
 def b_type(name: str) -> pa.DataType:
@@ -243,14 +244,15 @@ def _look(x: str) -> int:
 def branch_importance(nodes: DataFrame) -> DataFrame:
     """(page, branch, importance): composite importance of the branches of HTML pages in their sites' style trees.
 
-    Trees of one host are merged by path. A content node is a line's masked text: on n of m pages of the host its entropy is
+    Trees of one host are merged by path. A content node is the masked text
+    of a leaf, of which a line may hold several: on n of m pages of the host its entropy is
     log n / log m, and its importance what is left of 1; hosts are merged the same way, so that what all hosts show alike
     counts as little as what all pages of one do. A presentation node is a path with the tags below it: the entropy of
     these over the pages that have the path is its own importance. A branch's importance is the mean of that of its
-    lines by their length, of the branches of its host that look alike, and of those of all hosts, and a share of its
+    leaves by their length, of the branches of its host that look alike, and of those of all hosts, and a share of its
     presentation's. Everything is counted per host and node before it is shuffled, so no host or line is gathered.
     """
-    lines = nodes.where("html")
+    lines = nodes.where("html").select("page", "host", "branch", "path", "style", F.explode(F.arrays_zip(F.col("leaves").alias("key"), F.col("chars").alias("chars"))).alias("leaf")).select("page", "host", "branch", "path", "style", "leaf.key", "leaf.chars")
     sizes = lines.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m"))
     hosts = sizes.agg(F.greatest(F.lit(2), F.count("*")).alias("hosts"))
     per_host = lines.select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))

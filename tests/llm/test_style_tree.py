@@ -43,3 +43,18 @@ def test_tree_without_titles(spark):
 def test_names_of_addresses():
     assert M.subject("https://h.test/a/why-tea-matters.html?x") == ("matters",) and M.subject(None) == () and M.subject("https://h.test/blog/green_lanterns/index.html") == ("green", "lanterns")
     assert M.about("Green is it", ("green", "lanterns")) and not M.about("x", ())
+
+
+def test_menus_of_one_line(spark):
+    """A menu whose items stand in one line in another choice and order on each page is as unimportant as its items."""
+    rng = random.Random(3)
+    items = ["Start here", "All offers of the week", "Our letter comes on Fridays", "Read by many people", "Write to us", "Where we are"]
+
+    def with_menu(k):
+        menu = "".join(f"<li><a href=/{j}>{x}</a></li>" for j, x in enumerate(rng.sample(items, 4)))
+        return page(rng, k).replace("<body>\n", f"<body>\n<nav><ul>{menu}</ul></nav>\n")
+
+    df = spark.createDataFrame([(k, "https://one.test/", with_menu(k), None, "html", True, "") for k in range(20)], SCHEMA)
+    nodes = M._nodes(df, "page_id").cache()
+    rated = {(r.page, r.branch): r.importance for r in M.branch_importance(nodes).collect()}
+    assert all(rated[r.page, r.branch] < M.IMPORTANT for r in nodes.where("line_no = 2").collect())
